@@ -12,16 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions.scalar import clip01, softmax
-from lexiscope.operators.prefix import double_order_key, prefix_below
+from lexiscope.operators.prefix import double_order_key_sql, prefix_below
 
 FACETS = ("source", "model", "genre")
 ALL = "all"
 
 
-def _sum_if(cond: Column) -> Column:
+def _sum_if(cond) -> Column:
+    """Count of rows where ``cond`` (a Column or SQL text) holds, as BIGINT."""
+    if isinstance(cond, str):
+        return F.expr(f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)")
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
+def _x(*exprs: str) -> list[Column]:
+    return [F.expr(e) for e in exprs]
+
+
+CLIP_P = "least(greatest(p, 0.0D), 1.0D)"
+
+
 # --------------------------------------------------------------------------
 # Answers joined to the truth
 # --------------------------------------------------------------------------
@@ -47,20 +57,40 @@ def uncovered(truth: DataFrame, pred: DataFrame) -> DataFrame:
 def with_facets(df: DataFrame, facets=FACETS) -> DataFrame:
     """Unpivot to one row per (facet, value): the overall row ``('all','all')``
     plus one per facet column present. Rows whose facet value is null are left
-    out of that facet only."""
+    out of that facet only. One ``stack`` generator, no extra scan."""
     present = [f for f in facets if f in df.columns]
-    pairs = [F.struct(F.lit(ALL).alias("facet"), F.lit(ALL).alias("value"))]
-    pairs += [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in present]
     rest = [c for c in df.columns if c not in present]
-    return (df.select(*rest, F.explode(F.array(*pairs)).alias("_fv"))
-              .select(*rest, "_fv.facet", "_fv.value")
-              .where(F.col("value").isNotNull()))
+    args = ", ".join([f"'{ALL}', '{ALL}'"] + [f"'{f}', CAST({f} AS STRING)" for f in present])
+    return (df.selectExpr(*rest, f"stack({len(present) + 1}, {args}) AS (facet, value)")
+              .where("value IS NOT NULL"))
 
 
 # --------------------------------------------------------------------------
 # Exact ROC-AUC
 # --------------------------------------------------------------------------
-def roc_auc(df: DataFrame, by: list[str], t: str = "t", p: str = "p") -> DataFrame:
+def score_table(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row per (group, distinct score ``p``): positives, negatives, other
+    truth values, rows, and the summed squared error. Every binary metric and
+    the AUC derive from this table, so the input is scanned and shuffled
+    once, after map-side partial aggregation."""
+    return df.groupBy(*by, "p").agg(*_x(
+        "CAST(sum(CASE WHEN t = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos",
+        "CAST(sum(CASE WHEN t = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg",
+        "CAST(sum(CASE WHEN t NOT IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS oth",
+        "count(1) AS cnt",
+        f"sum(({CLIP_P} - t) * ({CLIP_P} - t)) AS sq"))
+
+
+def auc_from_scores(g: DataFrame, by: list[str]) -> DataFrame:
+    g = g.selectExpr(*by, "pos", "neg", "oth", f"{double_order_key_sql('p')} AS _key")
+    pb = prefix_below(g, by, "_key", ["neg"])
+    agg = pb.groupBy(*by).agg(*_x("sum(pos * (neg_below * 2 + neg)) AS u2", "sum(pos) AS P",
+                                  "sum(neg) AS N", "sum(oth) AS O"))
+    return agg.selectExpr(*by, "CASE WHEN P > 0 AND N > 0 AND O = 0 "
+                          "THEN CAST(u2 AS DOUBLE) / (CAST(P AS DOUBLE) * N * 2) END AS roc_auc")
+
+
+def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """Exact area under the ROC curve per group, ties counted half.
 
     Rows are first aggregated to one row per (group, score) with positive and
@@ -69,56 +99,64 @@ def roc_auc(df: DataFrame, by: list[str], t: str = "t", p: str = "p") -> DataFra
     ``U2 = Σ pos·(2·neg_below + neg)`` is integer; AUC = U2 / (2·P·N).
     Null when the group does not have exactly the two classes 0 and 1.
     """
-    g = df.groupBy(*by, p).agg(_sum_if(F.col(t) == 1).alias("pos"),
-                               _sum_if(F.col(t) == 0).alias("neg"),
-                               _sum_if(~F.col(t).isin(0, 1)).alias("oth"))
-    g = g.withColumn("_key", double_order_key(F.col(p)))
-    pb = prefix_below(g, by, "_key", ["neg"])
-    agg = pb.groupBy(*by).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") * 2 + F.col("neg"))).alias("u2"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("oth").alias("O"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0) & (F.col("O") == 0),
-                 F.col("u2").cast("double") / (F.col("P").cast("double") * F.col("N") * 2))
-    return agg.select(*by, auc.alias("roc_auc"))
+    return auc_from_scores(score_table(df, by), by)
+
+
+def counts_from_scores(g: DataFrame, by: list[str]) -> DataFrame:
+    """``binary_counts`` computed from ``score_table`` rows."""
+    def s(cond, v):
+        return f"CAST(sum(CASE WHEN {cond} THEN {v} ELSE 0 END) AS BIGINT)"
+    return g.groupBy(*by).agg(*_x(
+        "CAST(sum(cnt) AS BIGINT) AS n", f"{s('p = 0.5', 'cnt')} AS nu",
+        f"{s('p > 0.5', 'pos')} + {s('p < 0.5', 'neg')} AS nc",
+        f"{s('p > 0.5', 'pos')} AS tp", f"{s('p > 0.5', 'neg')} AS fp",
+        f"{s('p <= 0.5', 'pos')} AS fn_f1", f"{s('p < 0.5', 'pos')} AS fn", "sum(sq) AS sq",
+        f"{s('p < 0.5', 'neg')} AS conf_00", f"{s('p >= 0.5', 'neg')} AS conf_01",
+        f"{s('p < 0.5', 'pos')} AS conf_10", f"{s('p >= 0.5', 'pos')} AS conf_11"))
 
 
 # --------------------------------------------------------------------------
 # One conditional-sum aggregate
 # --------------------------------------------------------------------------
-def binary_counts(df: DataFrame, by: list[str], t: str = "t", p: str = "p") -> DataFrame:
-    tc, pc = F.col(t), F.col(p)
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        _sum_if(pc == 0.5).alias("nu"),
-        _sum_if((pc != 0.5) & (tc == F.when(pc > 0.5, 1.0).otherwise(0.0))).alias("nc"),
-        _sum_if((tc == 1) & (pc > 0.5)).alias("tp"),
-        _sum_if((tc == 0) & (pc > 0.5)).alias("fp"),
-        _sum_if((tc == 1) & (pc <= 0.5)).alias("fn_f1"),
-        _sum_if((tc == 1) & (pc < 0.5)).alias("fn"),
-        F.sum((clip01(pc) - tc) * (clip01(pc) - tc)).alias("sq"),
-        _sum_if((tc == 0) & (pc < 0.5)).alias("conf_00"),
-        _sum_if((tc == 0) & (pc >= 0.5)).alias("conf_01"),
-        _sum_if((tc == 1) & (pc < 0.5)).alias("conf_10"),
-        _sum_if((tc == 1) & (pc >= 0.5)).alias("conf_11"),
-    )
-
-
-def c_at_1_expr(n, nu, nc) -> Column:
-    n, nu, nc = (F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in (n, nu, nc))
-    return (F.lit(1.0) / n) * (nc + (nu * nc / n))
-
-
-def metric_columns(c: DataFrame) -> list[Column]:
-    """Unrounded brier, c@1, F1, F0.5u from ``binary_counts`` columns."""
-    n = F.col("n").cast("double")
-    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
-    f1 = F.when(F.col("tp") + F.col("fp") + F.col("fn_f1") > 0,
-                tp * 2.0 / (tp * 2.0 + fp + F.col("fn_f1")))
-    den = tp * 1.25 + (F.col("fn") + F.col("nu")).cast("double") * 0.25 + fp
-    f05u = F.when(den != 0.0, tp * 1.25 / den)
-    return [(F.lit(1.0) - F.col("sq") / n).alias("brier"),
-            c_at_1_expr("n", "nu", "nc").alias("c_at_1"),
-            f1.alias("f1"), f05u.alias("f05u")]
+_BINARY_COUNTS = [
+    "count(1) AS n",
+    "CAST(sum(CASE WHEN p = 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS nu",
+    "CAST(sum(CASE WHEN p <> 0.5 AND t = (CASE WHEN p > 0.5 THEN 1.0D ELSE 0.0D END) THEN 1 ELSE 0 END) AS BIGINT) AS nc",
+    "CAST(sum(CASE WHEN t = 1 AND p > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp",
+    "CAST(sum(CASE WHEN t = 0 AND p > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fp",
+    "CAST(sum(CASE WHEN t = 1 AND p <= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn_f1",
+    "CAST(sum(CASE WHEN t = 1 AND p < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn",
+    f"sum(({CLIP_P} - t) * ({CLIP_P} - t)) AS sq",
+    "CAST(sum(CASE WHEN t = 0 AND p < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_00",
+    "CAST(sum(CASE WHEN t = 0 AND p >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_01",
+    "CAST(sum(CASE WHEN t = 1 AND p < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_10",
+    "CAST(sum(CASE WHEN t = 1 AND p >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_11",
+]
+
+
+def binary_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """I2-I6 counts straight from rows ``(by..., t, p)``."""
+    return df.groupBy(*by).agg(*_x(*_BINARY_COUNTS))
+
+
+def c_at_1_sql(n: str, nu: str, nc: str) -> str:
+    d = "CAST({} AS DOUBLE)".format
+    return f"(1.0D / {d(n)}) * ({d(nc)} + ({d(nu)} * {d(nc)} / {d(n)}))"
+
+
+def c_at_1_expr(n: str, nu: str, nc: str) -> Column:
+    return F.expr(c_at_1_sql(n, nu, nc))
+
+
+_METRICS = [
+    "1.0D - sq / CAST(n AS DOUBLE) AS brier",
+    c_at_1_sql("n", "nu", "nc") + " AS c_at_1",
+    "CASE WHEN tp + fp + fn_f1 > 0 THEN CAST(tp AS DOUBLE) * 2.0D / "
+    "(CAST(tp AS DOUBLE) * 2.0D + CAST(fp AS DOUBLE) + CAST(fn_f1 AS DOUBLE)) END AS f1",
+    "CASE WHEN CAST(tp AS DOUBLE) * 1.25D + CAST(fn + nu AS DOUBLE) * 0.25D + CAST(fp AS DOUBLE) <> 0.0D "
+    "THEN CAST(tp AS DOUBLE) * 1.25D / (CAST(tp AS DOUBLE) * 1.25D + CAST(fn + nu AS DOUBLE) * 0.25D "
+    "+ CAST(fp AS DOUBLE)) END AS f05u",
+]
 
 
 METRIC_COLUMNS = ["roc_auc", "brier", "c_at_1", "f1", "f05u", "mean_score"]
@@ -129,14 +167,15 @@ def evaluate_scored(df: DataFrame, by: list[str], digits: int | None = 3) -> Dat
     """I7 per group: roc_auc, brier, c@1, f1, f05u, their mean (nulls as 0,
     taken before rounding), rounded to ``digits``; confusion cells
     ``conf_<truth><pred>`` with the prediction ``p >= 0.5``."""
-    counts = binary_counts(df, by)
-    auc = roc_auc(df, by)
-    m = counts.join(auc, by, "left").select(*by, "n", "roc_auc", *metric_columns(counts), *CONFUSION_COLUMNS)
-    mean = (F.coalesce(F.col("roc_auc"), F.lit(0.0)) + F.col("brier") + F.col("c_at_1")
-            + F.coalesce(F.col("f1"), F.lit(0.0)) + F.coalesce(F.col("f05u"), F.lit(0.0))) / 5.0
-    m = m.withColumn("mean_score", mean)
-    r = (lambda c: F.round(F.col(c), digits).alias(c)) if digits is not None else (lambda c: F.col(c))
-    return m.select(*by, "n", *[r(c) for c in METRIC_COLUMNS], *CONFUSION_COLUMNS)
+    g = score_table(df, by)
+    counts = counts_from_scores(g, by)
+    auc = auc_from_scores(g, by)
+    m = counts.join(auc, by, "left").selectExpr(*by, "n", "roc_auc", *_METRICS, *CONFUSION_COLUMNS)
+    mean = ("(coalesce(roc_auc, 0.0D) + brier + c_at_1 + coalesce(f1, 0.0D) "
+            "+ coalesce(f05u, 0.0D)) / 5.0D AS mean_score")
+    m = m.selectExpr("*", mean)
+    r = (lambda c: f"round({c}, {digits}) AS {c}") if digits is not None else (lambda c: c)
+    return m.selectExpr(*by, "n", *[r(c) for c in METRIC_COLUMNS], *CONFUSION_COLUMNS)
 
 
 def evaluate(truth: DataFrame, pred: DataFrame, facets=FACETS, offset: float | Column | None = None,
@@ -153,7 +192,7 @@ def evaluate(truth: DataFrame, pred: DataFrame, facets=FACETS, offset: float | C
 # --------------------------------------------------------------------------
 # Operating-point search
 # --------------------------------------------------------------------------
-def best_offset(scored: DataFrame, steps: int = 1000, t: str = "t", p: str = "p") -> DataFrame:
+def best_offset(scored: DataFrame, steps: int = 1000) -> DataFrame:
     """Offset search over ``steps`` evenly spaced offsets between
     ``-(max p - .49)`` and ``.51 - min p``: the first strictly better c@1 is
     kept; the search stops once it has improved and c@1 falls more than .01
@@ -163,65 +202,54 @@ def best_offset(scored: DataFrame, steps: int = 1000, t: str = "t", p: str = "p"
     distinct score has a first index where it is ``> 0.5`` and one where it is
     ``>= 0.5`` (estimated arithmetically, then fixed with the exact float
     comparison over a ±3 window). Counting rows per index and cumulating over
-    ``steps`` rows gives nc(k) and nu(k).
+    the ``steps`` offsets gives nc(k) and nu(k); only the ``steps``-row table
+    meets a global window.
     """
     spark = scored.sparkSession
-    base = scored.agg(
-        F.min(p).alias("pmin"), F.max(p).alias("pmax"), F.count(F.lit(1)).alias("n"),
-        _sum_if(F.col(t) == 0).alias("nneg"),
-        _sum_if(F.col(p) == 0.5).alias("nu0"),
-        _sum_if((F.col(p) != 0.5) & (F.col(t) == F.when(F.col(p) > 0.5, 1.0).otherwise(0.0))).alias("nc0"))
-    base = base.select(
-        "*", (-(F.col("pmax") - 0.49)).alias("start"), (F.lit(0.51) - F.col("pmin")).alias("stop"))
-    base = base.select("*", ((F.col("stop") - F.col("start")) / float(steps - 1)).alias("step"))
-    bsmall = F.broadcast(base)  # one row
-
-    def o_at(k: Column) -> Column:
-        return F.when(k == steps - 1, F.col("stop")).otherwise(k.cast("double") * F.col("step") + F.col("start"))
-
-    d = scored.groupBy(p).agg(_sum_if(F.col(t) == 1).alias("pos"), _sum_if(F.col(t) == 0).alias("neg"),
-                              F.count(F.lit(1)).alias("cnt"))
-    d = d.crossJoin(bsmall)
-    est = F.ceil((F.lit(0.5) - F.col(p) - F.col("start")) / F.col("step")).cast("long")
-    cand = F.transform(F.sequence(est - 3, est + 3), lambda k: F.struct(
-        k.alias("k"), (F.col(p) + o_at(k)).alias("v")))
-
-    def first(cond) -> Column:
-        ok = F.filter(cand, lambda s: (s["k"] >= 0) & (s["k"] < steps) & cond(s["v"]))
-        lo = F.array_min(F.transform(ok, lambda s: s["k"]))
-        # all candidates fail: either the whole window is past the end, or below 0
-        return F.coalesce(lo, F.when(est - 3 >= steps, F.lit(steps)).when(est + 3 < 0, F.lit(0)).otherwise(F.lit(steps)))
-
-    d = d.select("pos", "neg", "cnt",
-                 F.greatest(F.least(first(lambda v: v > 0.5), F.lit(steps)), F.lit(0)).cast("long").alias("kgt"),
-                 F.greatest(F.least(first(lambda v: v >= 0.5), F.lit(steps)), F.lit(0)).cast("long").alias("kge"))
-    ev = (d.select(F.col("kgt").alias("k"), F.col("pos").alias("pos_gt"), F.col("cnt").alias("all_gt"),
-                   F.lit(0).cast("long").alias("neg_ge"), F.lit(0).cast("long").alias("all_ge"))
-          .unionByName(d.select(F.col("kge").alias("k"), F.lit(0).cast("long").alias("pos_gt"),
-                                F.lit(0).cast("long").alias("all_gt"), F.col("neg").alias("neg_ge"),
-                                F.col("cnt").alias("all_ge")))
-          .groupBy("k").agg(*[F.sum(c).alias(c) for c in ("pos_gt", "all_gt", "neg_ge", "all_ge")]))
-    ks = spark.range(steps).select(F.col("id").alias("k"))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # `steps` rows only
-    c = (ks.join(ev, "k", "left").na.fill(0)
-         .select("k", *[F.sum(x).over(w).alias(x) for x in ("pos_gt", "all_gt", "neg_ge", "all_ge")])
-         .crossJoin(bsmall))
-    nc = F.col("pos_gt") + (F.col("nneg") - F.col("neg_ge"))
-    nu = F.col("all_ge") - F.col("all_gt")
-    c = c.select("k", o_at(F.col("k")).alias("offset"), c_at_1_expr("n", nu, nc).alias("score"),
-                 c_at_1_expr("n", "nu0", "nc0").alias("base"))
-    prev = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.select("*", F.greatest(F.col("base"), F.coalesce(F.max("score").over(prev), F.col("base"))).alias("best_before"))
-    c = c.select("*", (F.col("best_before") > F.col("base")).alias("updated"))
-    stop_k = c.where(F.col("updated") & (F.col("score") < F.col("best_before") - 0.01)).agg(F.min("k").alias("stop_k"))
-    live = c.crossJoin(F.broadcast(stop_k)).where(F.col("stop_k").isNull() | (F.col("k") < F.col("stop_k")))
-    better = live.where(F.col("score") > F.col("base"))
-    pick = better.agg(F.max_by(F.struct(F.col("score"), -F.col("k")), F.struct(F.col("score"), -F.col("k"))).alias("b"),
-                      F.max_by("offset", F.struct(F.col("score"), -F.col("k"))).alias("off"))
-    out = pick.crossJoin(F.broadcast(base.select(c_at_1_expr("n", "nu0", "nc0").alias("base_c_at_1"))))
-    return out.select(F.coalesce(F.col("off"), F.lit(0.0)).alias("best_offset"),
-                      F.coalesce(F.col("b.score"), F.col("base_c_at_1")).alias("best_c_at_1"),
-                      "base_c_at_1")
+    last = steps - 1
+    base = scored.agg(*_x(
+        "min(p) AS pmin", "max(p) AS pmax", "count(1) AS n",
+        "CAST(sum(CASE WHEN t = 0 THEN 1 ELSE 0 END) AS BIGINT) AS nneg",
+        "CAST(sum(CASE WHEN p = 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS nu0",
+        "CAST(sum(CASE WHEN p <> 0.5 AND t = (CASE WHEN p > 0.5 THEN 1.0D ELSE 0.0D END) "
+        "THEN 1 ELSE 0 END) AS BIGINT) AS nc0"))
+    base = base.selectExpr("*", "-(pmax - 0.49D) AS start", "0.51D - pmin AS stop")
+    base = base.selectExpr("*", f"(stop - start) / {float(last)}D AS step",
+                           c_at_1_sql("n", "nu0", "nc0") + " AS base_c_at_1")
+    b1 = F.broadcast(base)  # one row
+
+    def o_at(k: str) -> str:
+        return f"(CASE WHEN {k} = {last} THEN stop ELSE CAST({k} AS DOUBLE) * step + start END)"
+
+    d = scored.groupBy("p").agg(*_x(
+        "CAST(sum(CASE WHEN t = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos",
+        "CAST(sum(CASE WHEN t = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg", "count(1) AS cnt"))
+    d = d.crossJoin(b1).selectExpr(
+        "*", "CAST(ceil((0.5D - p - start) / step) AS BIGINT) AS est")
+
+    def first(op: str) -> str:
+        cand = f"filter(sequence(est - 3, est + 3), k -> k >= 0 AND k < {steps} AND p + {o_at('k')} {op} 0.5D)"
+        return (f"greatest(least(coalesce(array_min({cand}), "
+                f"CASE WHEN est + 3 < 0 THEN 0 ELSE {steps} END), {steps}), 0)")
+
+    d = d.selectExpr("pos", "neg", "cnt", f"{first('>')} AS kgt", f"{first('>=')} AS kge")
+    ev = d.selectExpr(f"stack(2, kgt, pos, cnt, 0L, 0L, kge, 0L, 0L, neg, cnt) "
+                      "AS (k, pos_gt, all_gt, neg_ge, all_ge)")
+    ev = ev.groupBy("k").agg(*_x(*[f"sum({c}) AS {c}" for c in ("pos_gt", "all_gt", "neg_ge", "all_ge")]))
+    cum = "ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    c = (spark.range(steps).withColumnRenamed("id", "k").join(ev, "k", "left").na.fill(0)
+         .selectExpr("k", *[f"sum({x}) OVER ({cum}) AS {x}" for x in ("pos_gt", "all_gt", "neg_ge", "all_ge")])
+         .crossJoin(b1))
+    c = c.selectExpr("k", f"{o_at('k')} AS offset", "base_c_at_1 AS base",
+                     c_at_1_sql("n", "(all_ge - all_gt)", "(pos_gt + (nneg - neg_ge))") + " AS score")
+    prev = "ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    c = c.selectExpr("*", f"greatest(base, coalesce(max(score) OVER ({prev}), base)) AS best_before")
+    stop_k = c.where("best_before > base AND score < best_before - 0.01D").agg(F.expr("min(k) AS stop_k"))
+    live = c.crossJoin(F.broadcast(stop_k)).where("stop_k IS NULL OR k < stop_k")
+    pick = live.where("score > base").agg(F.expr("max_by(offset, struct(score, -k)) AS off"),
+                                          F.expr("max(score) AS best"))
+    return pick.crossJoin(b1).selectExpr("coalesce(off, 0.0D) AS best_offset",
+                                         "coalesce(best, base_c_at_1) AS best_c_at_1", "base_c_at_1")
 
 
 # --------------------------------------------------------------------------

@@ -13,60 +13,56 @@ taken per digit level and added up:
 Each window partition then holds at most 2^22 distinct digits, whatever the
 distribution of the keys. Levels 0 and 1 run on aggregated tables that are a
 tiny fraction of the input; level 2 shares the (by, k0, k1) partitioning with
-the join back, so that join adds no second exchange on the large side.
+the join back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MASK21 = (1 << 21) - 1
-_TWO52 = float(1 << 52)
 
 
-def double_order_key(x) -> Column:
-    """Order-preserving BIGINT image of a DOUBLE (its IEEE-754 bit pattern,
-    negated for negative values). Built from exact power-of-two arithmetic:
-    Spark has no raw-bits function."""
-    x = F.col(x) if isinstance(x, str) else x
-    a = F.abs(x)
-    e0 = F.floor(F.log2(a)).cast("int")
-    e = (F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
-         .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1)
-         .otherwise(e0))
-    normal = (F.shiftleft((e + 1023).cast("long"), 52)
-              + ((a / F.pow(F.lit(2.0), e) - 1.0) * F.lit(_TWO52)).cast("long"))
-    subnormal = ((a * F.pow(F.lit(2.0), F.lit(1022))) * F.lit(_TWO52)).cast("long")
-    inf_bits = F.lit(0x7FF0000000000000).cast("long")
-    bits = (F.when(a == 0, F.lit(0).cast("long"))
-            .when(F.isnan(a), inf_bits + 1)
-            .when(a == float("inf"), inf_bits)
-            .when(a < F.lit(2.0 ** -1022), subnormal)
-            .otherwise(normal))
-    return F.when(x < 0, -bits).otherwise(bits)
+def double_order_key_sql(x: str) -> str:
+    """SQL text of an order-preserving BIGINT image of DOUBLE ``x`` (its
+    IEEE-754 bit pattern, negated for negative values), built from exact
+    power-of-two arithmetic - Spark has no raw-bits function."""
+    a = f"abs({x})"
+    e0 = f"CAST(floor(log2({a})) AS INT)"
+    e = (f"(CASE WHEN {a} < pow(2.0D, {e0}) THEN {e0} - 1 "
+         f"WHEN {a} >= pow(2.0D, {e0} + 1) THEN {e0} + 1 ELSE {e0} END)")
+    normal = (f"(shiftleft(CAST({e} + 1023 AS BIGINT), 52) + "
+              f"CAST(({a} / pow(2.0D, {e}) - 1.0D) * 4503599627370496.0D AS BIGINT))")
+    sub = f"CAST(({a} * pow(2.0D, 1022)) * 4503599627370496.0D AS BIGINT)"
+    bits = (f"(CASE WHEN {a} = 0.0D THEN 0L WHEN isnan({a}) THEN 9218868437227405313L "
+            f"WHEN {a} = double('infinity') THEN 9218868437227405312L "
+            f"WHEN {a} < pow(2.0D, -1022) THEN {sub} ELSE {normal} END)")
+    return f"(CASE WHEN {x} < 0 THEN -{bits} ELSE {bits} END)"
 
 
-def prefix_below(df: DataFrame, by: list[str], key: str, vals: list[str],
-                 suffix: str = "_below") -> DataFrame:
-    k = F.col(key)
-    d = df.select("*",
-                  F.shiftright(k, 42).alias("_k0"),
-                  F.shiftright(k, 21).bitwiseAND(F.lit(_MASK21)).alias("_k1"),
-                  k.bitwiseAND(F.lit(_MASK21)).alias("_k2"))
-    before = (Window.unboundedPreceding, -1)
+def double_order_key(x: str) -> Column:
+    return F.expr(double_order_key_sql(x))
 
-    def level(keys: list[str], order: str, tag: str) -> DataFrame:
-        t = d.groupBy(*by, *keys, order).agg(*[F.sum(v).alias(v) for v in vals])
-        w = Window.partitionBy(*by, *keys).orderBy(order).rowsBetween(*before)
-        return t.select(*by, *keys, order,
-                        *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{tag}{v}") for v in vals])
 
-    l0 = level([], "_k0", "_b0_")
-    l1 = level(["_k0"], "_k1", "_b1_")
-    w2 = Window.partitionBy(*by, "_k0", "_k1").orderBy("_k2").rowsBetween(*before)
-    d2 = d.select("*", *[F.coalesce(F.sum(v).over(w2), F.lit(0)).alias(f"_b2_{v}") for v in vals])
+def prefix_below(df: DataFrame, by: list[str], key: str, vals: list[str],
+                 suffix: str = "_below") -> DataFrame:
+    byl = ", ".join(by)
+    byc = (byl + ", ") if by else ""
+    part = f"PARTITION BY {byl}" if by else ""
+    d = df.selectExpr("*", f"shiftright({key}, 42) AS _k0",
+                      f"shiftright({key}, 21) & {_MASK21} AS _k1", f"{key} & {_MASK21} AS _k2")
+    sums = [f"sum({v}) AS {v}" for v in vals]
+    t1 = d.groupBy(*by, "_k0", "_k1").agg(*[F.expr(s) for s in sums])
+    t0 = t1.groupBy(*by, "_k0").agg(*[F.expr(s) for s in sums])
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    l0 = t0.selectExpr(*by, "_k0", *[
+        f"coalesce(sum({v}) OVER ({part} ORDER BY _k0 {frame}), 0) AS _b0_{v}" for v in vals])
+    p1 = f"PARTITION BY {byc}_k0"
+    l1 = t1.selectExpr(*by, "_k0", "_k1", *[
+        f"coalesce(sum({v}) OVER ({p1} ORDER BY _k1 {frame}), 0) AS _b1_{v}" for v in vals])
+    p2 = f"PARTITION BY {byc}_k0, _k1"
+    d2 = d.selectExpr("*", *[
+        f"coalesce(sum({v}) OVER ({p2} ORDER BY _k2 {frame}), 0) AS _b2_{v}" for v in vals])
     out = d2.join(l1, [*by, "_k0", "_k1"]).join(l0, [*by, "_k0"])
-    return out.select(
-        *df.columns,
-        *[(F.col(f"_b0_{v}") + F.col(f"_b1_{v}") + F.col(f"_b2_{v}")).alias(f"{v}{suffix}") for v in vals])
+    return out.selectExpr(*df.columns, *[f"_b0_{v} + _b1_{v} + _b2_{v} AS {v}{suffix}" for v in vals])
