@@ -48,13 +48,53 @@ CTE = {
       WHEN tok IN ('is','are','was','were','be') THEN 'AUX'
       WHEN tok IN ('he','she','it','they','we','you','i') THEN 'PRON'
       ELSE 'NOUN' END AS pos FROM raw_tokens) q)""",
+    "token_ids": r"""token_ids AS (
+  SELECT doc_id, CAST(k + 1 AS INTEGER) AS pos, token, CAST((length(token) * 31 + ascii(token)) % 500 AS BIGINT) AS vec_id
+  FROM (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS token
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS a FROM documents) s) t
+  UNION ALL SELECT doc_id, 0, '', CAST(doc_id % 500 AS BIGINT) FROM documents)""",
+    "nodes": """nodes AS (
+  SELECT DISTINCT doc_id, concat_ws('_', lower(text), pos) AS node, pos AS pos_tag FROM tokens
+  UNION SELECT DISTINCT doc_id, 'ROOT_0', 'ROOT_0' FROM tokens)""",
+    "token_edges": """token_edges AS (
+  SELECT t.doc_id, t.sent_id, t.i,
+         CASE WHEN t.dep = 'ROOT' THEN 'ROOT_0' ELSE concat_ws('_', lower(h.text), h.pos) END AS src,
+         concat_ws('_', lower(t.text), t.pos) AS dst, t.dep,
+         CASE WHEN abs(t.i - t.head_i) > 0 THEN 1.0 / abs(t.i - t.head_i) ELSE 1.0 END AS dist
+  FROM tokens t LEFT JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head_i = h.i)""",
+    "edges": """edges AS (
+  SELECT doc_id, src, dst, dep, dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, src, dst ORDER BY sent_id DESC, i DESC) AS rn FROM token_edges) x
+  WHERE rn = 1)""",
+    "gstats": """gstats AS (
+  SELECT coalesce(n.doc_id, e.doc_id) AS doc_id, coalesce(n.n_nodes, 0) AS n_nodes, coalesce(e.n_edges, 0) AS n_edges
+  FROM (SELECT doc_id, count(*) AS n_nodes FROM nodes GROUP BY doc_id) n
+  FULL OUTER JOIN (SELECT doc_id, count(*) AS n_edges FROM edges GROUP BY doc_id) e ON n.doc_id = e.doc_id)""",
+    "good": """good AS (SELECT doc_id FROM gstats WHERE n_nodes >= 2 AND n_edges >= 1)""",
+    "fnodes": """fnodes AS (
+  SELECT * FROM nodes WHERE doc_id IN (SELECT doc_id FROM good)
+  UNION ALL SELECT doc_id, 'DUMMY_NOUN', 'NOUN' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM good)
+  UNION ALL SELECT doc_id, 'FILLER_VERB', 'VERB' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM good))""",
+    "fedges": """fedges AS (
+  SELECT * FROM edges WHERE doc_id IN (SELECT doc_id FROM good)
+  UNION ALL SELECT doc_id, 'DUMMY_NOUN', 'FILLER_VERB', 'dep', 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM good))""",
+    "nv": """nv AS (
+  SELECT n.doc_id, n.node, n.pos_tag, CASE WHEN n.node = 'ROOT_0' THEN r.vec_id ELSE l.vec_id END AS vec_id
+  FROM fnodes n
+  LEFT JOIN (SELECT doc_id, lower(token) AS word, arg_max(vec_id, pos) AS vec_id FROM token_ids
+             WHERE pos > 0 AND pos < 512 GROUP BY doc_id, lower(token)) l
+    ON n.doc_id = l.doc_id AND lower(split_part(n.node, '_', 1)) = l.word
+  LEFT JOIN (SELECT doc_id, vec_id FROM token_ids WHERE pos = 0) r ON n.doc_id = r.doc_id)""",
 }
 
 # dependency order of the CTEs
 _DEPS = {
     "corpus": [], "answers": ["corpus"], "truth": ["corpus"],
     "scored": ["truth", "answers"], "faceted": ["scored"],
-    "raw_tokens": [], "tokens": ["raw_tokens"],
+    "raw_tokens": [], "tokens": ["raw_tokens"], "token_ids": [],
+    "nodes": ["tokens"], "token_edges": ["tokens"], "edges": ["token_edges"],
+    "gstats": ["nodes", "edges"], "good": ["gstats"], "fnodes": ["good"], "fedges": ["good"],
+    "nv": ["fnodes", "token_ids"],
 }
 
 

@@ -1 +1,263 @@
-"""placeholder"""
+"""Token-graph queries over the surface-annotated token table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiscope.functions import scalar as S
+from lexiscope.operators import graph as G
+from lexiscope.plans.catalog import register
+from lexiscope.plans.oracle import with_ctes
+from lexiscope.sources import fixtures as X
+from lexiscope.sources.tables import table
+
+DIM = 64
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id")
+
+
+def graphs(spark, sf_dir, directed=True):
+    """(nodes, edges) per document after the fallback rule."""
+    toks = X.tokens(spark, sf_dir)
+    nodes, edges = G.build_graph(toks, directed)
+    return G.with_fallback(_docs(spark, sf_dir), nodes, edges)
+
+
+@register("tokens", with_ctes(["tokens"]) + "SELECT doc_id, sent_id, i, text, lemma, pos, dep, head_i FROM tokens")
+def q_tokens(spark, sf_dir):
+    """Surface annotation (input of the graph jobs)."""
+    return X.tokens(spark, sf_dir)
+
+
+@register("token_info", with_ctes(["tokens"]) + """
+SELECT t.doc_id, t.sent_id, t.i, t.text, t.pos, t.dep, h.text AS head_text, h.lemma AS head_lemma,
+       h.pos AS head_pos, t.dep = 'ROOT' AS is_root
+FROM tokens t LEFT JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head_i = h.i""")
+def q_token_info(spark, sf_dir):
+    """G1: tokens with their head's text, lemma and POS."""
+    return G.token_info(X.tokens(spark, sf_dir)).select(
+        "doc_id", "sent_id", "i", "text", "pos", "dep", "head_text", "head_lemma", "head_pos", "is_root")
+
+
+@register("graph_nodes", with_ctes(["nodes"]) + "SELECT doc_id, node, pos_tag FROM nodes")
+def q_graph_nodes(spark, sf_dir):
+    """Distinct graph nodes per document."""
+    return G.graph_nodes(X.tokens(spark, sf_dir))
+
+
+@register("graph_edges", with_ctes(["token_edges"]) + "SELECT doc_id, sent_id, i, src, dst, dep, dist FROM token_edges")
+def q_graph_edges(spark, sf_dir):
+    """One edge per token with dep and normalised distance."""
+    return G.token_edges(G.token_info(X.tokens(spark, sf_dir)))
+
+
+@register("sentence_graph", with_ctes(["token_edges"]) + """
+SELECT doc_id, sent_id, src, dst, dep, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id, src, dst ORDER BY i DESC) AS rn FROM token_edges) x
+WHERE rn = 1""")
+def q_sentence_graph(spark, sf_dir):
+    """Simple directed graph per sentence (last attributes win)."""
+    e = G.token_edges(G.token_info(X.tokens(spark, sf_dir)))
+    g = e.groupBy("doc_id", "sent_id", "src", "dst").agg(F.max_by(F.struct("dep", "dist"), "i").alias("a"))
+    return g.select("doc_id", "sent_id", "src", "dst", "a.dep", "a.dist")
+
+
+@register("compose_graph", with_ctes(["edges"]) + "SELECT doc_id, src, dst, dep, dist FROM edges")
+def q_compose_graph(spark, sf_dir):
+    """Directed document graph (sentence graphs composed in order)."""
+    return G.compose_edges(G.token_edges(G.token_info(X.tokens(spark, sf_dir))), True)
+
+
+@register("compose_graph_undirected", with_ctes(["token_edges"]) + """
+SELECT doc_id, src, dst, dep, dist FROM (
+  SELECT doc_id, least(src, dst) AS src, greatest(src, dst) AS dst, dep, dist,
+         row_number() OVER (PARTITION BY doc_id, least(src, dst), greatest(src, dst) ORDER BY sent_id DESC, i DESC) AS rn
+  FROM token_edges) x WHERE rn = 1""")
+def q_compose_graph_undirected(spark, sf_dir):
+    """G4/G5 undirected: (u, v) and (v, u) are one edge."""
+    return G.compose_edges(G.token_edges(G.token_info(X.tokens(spark, sf_dir))), False)
+
+
+@register("fallback_graph", with_ctes(["fedges"]) + "SELECT doc_id, src, dst, dep, dist FROM fedges")
+def q_fallback_graph(spark, sf_dir):
+    """Document graphs with the two-node fallback for unusable ones."""
+    return graphs(spark, sf_dir)[1]
+
+
+@register("graph_stats", with_ctes(["fnodes", "fedges"]) + """
+SELECT n.doc_id, CAST(n.c AS BIGINT) AS n_nodes, CAST(coalesce(e.c, 0) AS BIGINT) AS n_edges, 'success' AS status
+FROM (SELECT doc_id, count(*) AS c FROM fnodes GROUP BY doc_id) n
+LEFT JOIN (SELECT doc_id, count(*) AS c FROM fedges GROUP BY doc_id) e ON n.doc_id = e.doc_id""")
+def q_graph_stats(spark, sf_dir):
+    """Node and edge counts per document."""
+    return G.graph_stats(*graphs(spark, sf_dir))
+
+
+@register("graph_averages", with_ctes(["fnodes", "fedges"]) + """
+SELECT round(avg(n_nodes), 9) AS avg_nodes, round(avg(n_edges), 9) AS avg_edges FROM (
+  SELECT n.doc_id, n.c AS n_nodes, coalesce(e.c, 0) AS n_edges
+  FROM (SELECT doc_id, count(*) AS c FROM fnodes GROUP BY doc_id) n
+  LEFT JOIN (SELECT doc_id, count(*) AS c FROM fedges GROUP BY doc_id) e ON n.doc_id = e.doc_id) s""")
+def q_graph_averages(spark, sf_dir):
+    """Mean node and edge count per document."""
+    a = G.graph_averages(G.graph_stats(*graphs(spark, sf_dir)))
+    return a.select(F.round("avg_nodes", 9).alias("avg_nodes"), F.round("avg_edges", 9).alias("avg_edges"))
+
+
+@register("attach_text_label", with_ctes(["fnodes", "fedges"]) + """
+SELECT n.doc_id, CAST(n.c AS BIGINT) AS n_nodes, l.quality AS label
+FROM (SELECT doc_id, count(*) AS c FROM fnodes GROUP BY doc_id) n JOIN labels l ON n.doc_id = l.doc_id""")
+def q_attach_text_label(spark, sf_dir):
+    """Graph records joined to their labels by id (not by position)."""
+    st = G.graph_stats(*graphs(spark, sf_dir)).select("doc_id", "n_nodes")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return st.join(lab, "doc_id")
+
+
+@register("relation_frequency", with_ctes(["edges"]) + """
+SELECT e.doc_id, e.src, e.dst, concat_ws('_', e.dep, CAST(c.k + 1 AS VARCHAR)) AS dep, e.dist
+FROM edges e JOIN (SELECT doc_id, dep, count(*) AS k FROM edges GROUP BY doc_id, dep) c
+  ON e.doc_id = c.doc_id AND e.dep = c.dep""")
+def q_relation_frequency(spark, sf_dir):
+    """Dep labels suffixed with their frequency in the document graph."""
+    e = G.compose_edges(G.token_edges(G.token_info(X.tokens(spark, sf_dir))), True)
+    return G.relation_frequency(e)
+
+
+@register("symmetrize_edges", with_ctes(["token_edges"], ["""ue AS (
+  SELECT doc_id, src, dst, dep, dist FROM (
+    SELECT doc_id, least(src, dst) AS src, greatest(src, dst) AS dst, dep, dist,
+           row_number() OVER (PARTITION BY doc_id, least(src, dst), greatest(src, dst) ORDER BY sent_id DESC, i DESC) AS rn
+    FROM token_edges) x WHERE rn = 1)"""]) + """
+SELECT doc_id, src, dst, dep, dist FROM ue UNION ALL SELECT doc_id, dst, src, dep, dist FROM ue WHERE src <> dst""")
+def q_symmetrize_edges(spark, sf_dir):
+    """Both directions of each undirected edge, self-loops once."""
+    e = G.compose_edges(G.token_edges(G.token_info(X.tokens(spark, sf_dir))), False)
+    return G.symmetrize(e)
+
+
+@register("pos_id", with_ctes(["nodes"]) + f"""
+SELECT doc_id, node, CAST(CASE WHEN strpos(node, '_') = 0 THEN {S.POS_TAGS.index('X')}
+  ELSE coalesce(list_position({[t for t in S.POS_TAGS]}, split_part(node, '_', -1)) - 1, {S.POS_TAGS.index('X')}) END AS INTEGER) AS pos_id
+FROM nodes""")
+def q_pos_id(spark, sf_dir):
+    """POS index of every graph node (unknown suffix, e.g. ROOT_0's '0', -> X)."""
+    return G.graph_nodes(X.tokens(spark, sf_dir)).select("doc_id", "node", S.pos_id(F.col("node")).alias("pos_id"))
+
+
+@register("pos_one_hot", with_ctes(["nodes"]) + f"""
+SELECT doc_id, node, CAST(coalesce(list_position({[t for t in S.POS_TAGS]}, split_part(node, '_', -1)) - 1, -1) AS INTEGER) AS hot,
+       CAST(CASE WHEN list_position({[t for t in S.POS_TAGS]}, split_part(node, '_', -1)) IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS total
+FROM nodes""")
+def q_pos_one_hot(spark, sf_dir):
+    """Position of the 1 in each node's 18-wide one-hot POS vector
+    (-1 when all zeros) and the vector's sum."""
+    v = G.graph_nodes(X.tokens(spark, sf_dir)).select("doc_id", "node", S.pos_one_hot(F.col("node")).alias("v"))
+    return v.select("doc_id", "node",
+                    F.coalesce(F.array_position(F.col("v"), 1.0) - 1, F.lit(-1)).cast("int").alias("hot"),
+                    F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register("dep_id", with_ctes(["edges"]) + f"""
+SELECT doc_id, src, dst, CAST(coalesce(list_position({[t for t in S.DEP_TAGS]}, dep) - 1, {S.DEP_TAGS.index('dep')}) AS INTEGER) AS dep_id,
+       CAST(dist AS DOUBLE) AS dist FROM edges""")
+def q_dep_id(spark, sf_dir):
+    """Dependency index per edge (unknown -> dep) and distance as double."""
+    e = G.compose_edges(G.token_edges(G.token_info(X.tokens(spark, sf_dir))), True)
+    return e.select("doc_id", "src", "dst", S.dep_id(F.col("dep")).alias("dep_id"), F.col("dist").cast("double"))
+
+
+def node_vecs(spark, sf_dir):
+    nodes, _ = graphs(spark, sf_dir)
+    return G.node_vectors(nodes, X.token_ids(spark, sf_dir), X.vectors(spark, sf_dir), DIM)
+
+
+@register("node_vectors", with_ctes(["nv"]) + """
+SELECT nv.doc_id, nv.node, e.embedding IS NOT NULL AS matched,
+       round(coalesce(CAST(e.embedding[1] AS DOUBLE), 0.0), 6) AS v0,
+       round(coalesce(list_sum(CAST(e.embedding AS DOUBLE[])), 0.0), 4) AS vsum
+FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id""")
+def q_node_vectors(spark, sf_dir):
+    """Node vectors (first component and sum shown)."""
+    v = node_vecs(spark, sf_dir)
+    return v.select("doc_id", "node", "matched", F.round(F.col("vec")[0], 6).alias("v0"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("vsum"))
+
+
+@register("node_match_rate", with_ctes(["nv"]) + """
+SELECT CAST(sum(CASE WHEN e.embedding IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched,
+       CAST(sum(CASE WHEN e.embedding IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched
+FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id""")
+def q_node_match_rate(spark, sf_dir):
+    """Matched vs unmatched nodes."""
+    return G.node_match_rate(node_vecs(spark, sf_dir))
+
+
+def _seeded_sql(n: int, dim: int, seed: int, name: str) -> str:
+    return (f"{name} AS (SELECT CAST(k AS INTEGER) AS k, list_transform(range({dim}), lambda j: "
+            f"CAST((k * 7919 + j * 104729 + {seed * 31}) % 1000 AS DOUBLE) / 1000.0 - 0.5) AS emb FROM range({n}) r(k))")
+
+
+@register("pos_feature_concat", with_ctes(["nv"], [_seeded_sql(18, 32, 1, "pt")]) + f"""
+SELECT nv.doc_id, nv.node, CAST({DIM} + 32 AS INTEGER) AS width,
+       round(coalesce(list_sum(CAST(e.embedding AS DOUBLE[])), 0.0) + list_sum(pt.emb), 4) AS vsum
+FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id
+JOIN pt ON pt.k = CASE WHEN strpos(nv.node, '_') = 0 THEN {S.POS_TAGS.index('X')}
+  ELSE coalesce(list_position({[t for t in S.POS_TAGS]}, split_part(nv.node, '_', -1)) - 1, {S.POS_TAGS.index('X')}) END""")
+def q_pos_feature_concat(spark, sf_dir):
+    """Node vector ++ 32-wide POS embedding (seeded 18 x 32 table)."""
+    pt = G.seeded_table(spark, len(S.POS_TAGS), 32, 1)
+    c = G.concat_pos(node_vecs(spark, sf_dir), pt)
+    return c.select("doc_id", "node", F.size("vec").cast("int").alias("width"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("vsum"))
+
+
+@register("dep_edge_vector", with_ctes(["fedges"], [_seeded_sql(24, 32, 2, "dt")]) + f"""
+SELECT f.doc_id, f.src, f.dst, dt.k, round(list_sum(dt.emb), 6) AS esum FROM fedges f
+JOIN dt ON dt.k = coalesce(list_position({[t for t in S.DEP_TAGS]}, f.dep) - 1, {S.DEP_TAGS.index('dep')})""")
+def q_dep_edge_vector(spark, sf_dir):
+    """32-wide dependency embedding per edge (seeded 24 x 32 table)."""
+    dt = G.seeded_table(spark, len(S.DEP_TAGS), 32, 2)
+    e = G.edge_vectors(graphs(spark, sf_dir)[1], dt)
+    return e.select("doc_id", "src", "dst", "k", F.round(F.aggregate("evec", F.lit(0.0), lambda a, x: a + x), 6).alias("esum"))
+
+
+@register("graph_pool", with_ctes(["nv"]) + """
+SELECT doc_id, CAST(d AS INTEGER) AS dim, round(avg(x), 6) AS value FROM (
+  SELECT nv.doc_id, unnest(range(64)) AS d,
+         unnest(coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0))) AS x
+  FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id) s
+GROUP BY doc_id, d""")
+def q_graph_pool(spark, sf_dir):
+    """Mean pooling of node vectors per document (one row per dimension)."""
+    p = G.pool(node_vecs(spark, sf_dir), "mean")
+    return p.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+
+
+@register("gcn_propagate", with_ctes(["nv", "fedges"], ["""x AS (
+  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[])[1:4], [0.0, 0.0, 0.0, 0.0]) AS v
+  FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id)""",
+    """se AS (SELECT DISTINCT doc_id, src, dst FROM (
+      SELECT doc_id, src, dst FROM fedges UNION ALL SELECT doc_id, dst, src FROM fedges) u WHERE src <> dst)""",
+    """deg AS (SELECT x.doc_id, x.node, 1.0 + coalesce(c.k, 0) AS deg FROM x
+      LEFT JOIN (SELECT doc_id, dst, count(*) AS k FROM se GROUP BY doc_id, dst) c ON x.doc_id = c.doc_id AND x.node = c.dst)""",
+    """msg AS (
+  SELECT se.doc_id, se.dst AS node, x.v, 1.0 / sqrt(ds.deg * dd.deg) AS w FROM se
+  JOIN x ON x.doc_id = se.doc_id AND x.node = se.src
+  JOIN deg ds ON ds.doc_id = se.doc_id AND ds.node = se.src
+  JOIN deg dd ON dd.doc_id = se.doc_id AND dd.node = se.dst
+  UNION ALL SELECT x.doc_id, x.node, x.v, 1.0 / deg.deg FROM x JOIN deg ON x.doc_id = deg.doc_id AND x.node = deg.node)"""])
+    + """
+SELECT doc_id, node, CAST(d AS INTEGER) AS dim, round(sum(w * val), 6) AS value FROM (
+  SELECT doc_id, node, w, unnest(range(4)) AS d, unnest(v) AS val FROM msg) s
+GROUP BY doc_id, node, d""")
+def q_gcn_propagate(spark, sf_dir):
+    """One round of normalised propagation over the undirected graph,
+    on the first four vector components."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", F.slice("vec", 1, 4).alias("vec"))
+    x = G.propagate(nv, graphs(spark, sf_dir)[1], hops=1, directed=False)
+    return x.select("doc_id", "node", F.posexplode("vec").alias("dim", "value")).select(
+        "doc_id", "node", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
