@@ -206,7 +206,7 @@ def concat_pos(nv: DataFrame, pos_table: DataFrame) -> DataFrame:
 def edge_vectors(edges: DataFrame, dep_table: DataFrame) -> DataFrame:
     """Per edge the embedding of its dep id (B18); 24-row broadcast."""
     j = edges.withColumn("k", dep_id(F.col("dep"))).join(F.broadcast(dep_table), "k")
-    return j.select("doc_id", "src", "dst", "dep", "dist", F.col("emb").alias("evec"))
+    return j.select("doc_id", "src", "dst", "dep", "dist", "k", F.col("emb").alias("evec"))
 
 
 def pool(nv: DataFrame, how: str = "mean", key: str = "doc_id", vec: str = "vec") -> DataFrame:

@@ -32,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when the scan yields fewer partitions
-    than the cluster has cores (one big row group → one task). On a cluster
-    reading many files the scan is already wide and nothing is added."""
+    """Spread rows over all cores when the scan yields fewer partitions than
+    the cluster has (one big row group → one task). On a cluster reading many
+    files the scan is already wide and nothing is added. Round-robin (Spark
+    sorts before it, so a retried task sees the same rows); no hash
+    partitioning is claimed, so later joins plan their own exchanges."""
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want, key)
+    return df.repartition(want)
