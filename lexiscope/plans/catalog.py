@@ -26,4 +26,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from lexiscope.plans import (  # noqa: F401
-        q_evaluation, q_text, q_sampling, q_profile, q_features, q_graph, q_models)
+        q_evaluation, q_text, q_sampling, q_profile, q_features, q_graph, q_models, q_sources,
+        q_multiclass)

@@ -85,6 +85,12 @@ CTE = {
              WHERE pos > 0 AND pos < 512 GROUP BY doc_id, lower(token)) l
     ON n.doc_id = l.doc_id AND lower(split_part(n.node, '_', 1)) = l.word
   LEFT JOIN (SELECT doc_id, vec_id FROM token_ids WHERE pos = 0) r ON n.doc_id = r.doc_id)""",
+    "t2pred": """t2pred AS (
+  SELECT id, label, pred, language,
+         list_transform(range(6), lambda k: CAST((id * 31 + k * 17) % 100 AS DOUBLE) / 25.0 + CASE WHEN k = pred THEN 2.0 ELSE 0.0 END) AS logits
+  FROM (SELECT d.doc_id AS id, CAST(d.doc_id % 6 AS INTEGER) AS label, d.lang AS language,
+               CAST(CASE WHEN (d.doc_id * 7919 + 13) % 1000 < 600 THEN d.doc_id % 6 ELSE ((d.doc_id * 7919 + 13) % 1000) % 6 END AS INTEGER) AS pred
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x)""",
 }
 
 # dependency order of the CTEs
@@ -94,7 +100,7 @@ _DEPS = {
     "raw_tokens": [], "tokens": ["raw_tokens"], "token_ids": [],
     "nodes": ["tokens"], "token_edges": ["tokens"], "edges": ["token_edges"],
     "gstats": ["nodes", "edges"], "good": ["gstats"], "fnodes": ["good"], "fedges": ["good"],
-    "nv": ["fnodes", "token_ids"],
+    "nv": ["fnodes", "token_ids"], "t2pred": [],
 }
 
 

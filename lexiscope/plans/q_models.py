@@ -1 +1 @@
-"""placeholder"""
+"""Spark ML model queries; filled in below."""
