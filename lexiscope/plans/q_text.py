@@ -75,7 +75,8 @@ def _d_word_len(x: str) -> str:
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    from lexiscope.sources.tables import spread
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _doc_query(name: str, spark_fn, duck_fn):
