@@ -262,3 +262,34 @@ def propagate(nv: DataFrame, edges: DataFrame, hops: int = 1, directed: bool = F
         allm = msg.unionByName(self_msg).select("doc_id", "node", array_to_vector(F.col("sv")).alias("_v"), "w")
         x = allm.groupBy("doc_id", "node").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("w"))).alias("vec"))
     return x
+
+
+def projection_matrix(d_in: int, d_out: int = 256, seed: int = 42):
+    """Seeded Gaussian random projection (d_in x d_out), scaled 1/sqrt(d_in).
+    Fixed size, so shipping it to every task is bounded."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    return (rng.standard_normal((d_in, d_out)) / np.sqrt(d_in)).astype("float64")
+
+
+def project(nv: DataFrame, matrix, vec: str = "vec") -> DataFrame:
+    """Linear map of every node vector, Arrow-batched with
+    ``mapInPandas`` (one numpy matrix product per batch, not per row)."""
+    import numpy as np
+    mat = np.asarray(matrix, dtype="float64")
+    bmat = nv.sparkSession.sparkContext.broadcast(mat)
+    keep = [c for c in nv.columns if c != vec]
+    from pyspark.sql.types import ArrayType, DoubleType
+    schema = nv.select(*keep).schema.add("vec", ArrayType(DoubleType()))
+
+    def run(batches):
+        m = bmat.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[vec].to_numpy())
+            out = pdf[keep].copy()
+            out["vec"] = list(x @ m)
+            yield out
+
+    return nv.mapInPandas(run, schema)

@@ -261,3 +261,30 @@ def q_gcn_propagate(spark, sf_dir):
     x = G.propagate(nv, graphs(spark, sf_dir)[1], hops=1, directed=False)
     return x.select("doc_id", "node", F.posexplode("vec").alias("dim", "value")).select(
         "doc_id", "node", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+
+
+@register("attention_pool", with_ctes(["nv"], ["""x AS (
+  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[])[1:4], [0.0, 0.0, 0.0, 0.0]) AS v
+  FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id)""",
+    """s AS (SELECT doc_id, v, v[1] * 0.5 + v[2] * -0.25 + v[3] * 1.0 + v[4] * 0.1 AS sc FROM x)""",
+    """w AS (SELECT doc_id, v, exp(sc - max(sc) OVER (PARTITION BY doc_id)) AS w FROM s)"""]) + """
+SELECT doc_id, CAST(d AS INTEGER) AS dim, round(sum(w * val) / sum(w), 6) AS value FROM (
+  SELECT doc_id, w, unnest(range(4)) AS d, unnest(v) AS val FROM w) q
+GROUP BY doc_id, d""")
+def q_attention_pool(spark, sf_dir):
+    """Softmax-gated pooling of node vectors (first four components,
+    fixed gate) per document."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", F.slice("vec", 1, 4).alias("vec"))
+    p = G.attention_pool(nv, [0.5, -0.25, 1.0, 0.1])
+    return p.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+
+
+@register("project_vectors")
+def q_project_vectors(spark, sf_dir):
+    """Node vectors mapped to 256 dimensions by a seeded projection
+    (rows-only check; the product runs in Arrow batches)."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
+    p = G.project(nv, G.projection_matrix(DIM, 256))
+    return p.select("doc_id", "node", F.size("vec").alias("width"),
+                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("vsum"))
