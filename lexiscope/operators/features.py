@@ -81,8 +81,10 @@ def tfidf(tokens: DataFrame, doc: str = "doc_id", term: str = "term", n_docs=Non
         df = df.withColumn("_n", F.lit(int(n_docs)))
     idf = F.log((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0
     w = tf.join(df.select(term, idf.alias("idf")), term).select(doc, term, (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, doc).select(doc, term, (F.col("w") / F.col("_norm")).alias("weight"))
+    # L2 norm per document: a window over one document's distinct terms
+    # (bounded by the document) - one exchange instead of aggregate + join
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return w.select(doc, term, (F.col("w") / norm).alias("weight"))
 
 
 def truncate_tokens(token_vecs: DataFrame, max_len: int = 512, pos: str = "pos") -> DataFrame:

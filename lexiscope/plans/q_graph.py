@@ -18,6 +18,12 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id")
 
 
+def stats(spark, sf_dir, directed=True):
+    """Per-document node / edge counts with the fallback rule applied."""
+    nodes, edges = G.build_graph(X.tokens(spark, sf_dir), directed)
+    return G.graph_stats_with_fallback(_docs(spark, sf_dir), nodes, edges)
+
+
 def graphs(spark, sf_dir, directed=True):
     """(nodes, edges) per document after the fallback rule."""
     toks = X.tokens(spark, sf_dir)
@@ -92,7 +98,7 @@ FROM (SELECT doc_id, count(*) AS c FROM fnodes GROUP BY doc_id) n
 LEFT JOIN (SELECT doc_id, count(*) AS c FROM fedges GROUP BY doc_id) e ON n.doc_id = e.doc_id""")
 def q_graph_stats(spark, sf_dir):
     """Node and edge counts per document."""
-    return G.graph_stats(*graphs(spark, sf_dir))
+    return stats(spark, sf_dir)
 
 
 @register("graph_averages", with_ctes(["fnodes", "fedges"]) + """
@@ -102,7 +108,7 @@ SELECT round(avg(n_nodes), 9) AS avg_nodes, round(avg(n_edges), 9) AS avg_edges
   LEFT JOIN (SELECT doc_id, count(*) AS c FROM fedges GROUP BY doc_id) e ON n.doc_id = e.doc_id) s""")
 def q_graph_averages(spark, sf_dir):
     """Mean node and edge count per document."""
-    a = G.graph_averages(G.graph_stats(*graphs(spark, sf_dir)))
+    a = G.graph_averages(stats(spark, sf_dir))
     return a.select(F.round("avg_nodes", 9).alias("avg_nodes"), F.round("avg_edges", 9).alias("avg_edges"))
 
 
@@ -111,7 +117,7 @@ SELECT n.doc_id, CAST(n.c AS BIGINT) AS n_nodes, l.quality AS label
 FROM (SELECT doc_id, count(*) AS c FROM fnodes GROUP BY doc_id) n JOIN labels l ON n.doc_id = l.doc_id""")
 def q_attach_text_label(spark, sf_dir):
     """Graph records joined to their labels by id (not by position)."""
-    st = G.graph_stats(*graphs(spark, sf_dir)).select("doc_id", "n_nodes")
+    st = stats(spark, sf_dir).select("doc_id", "n_nodes")
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return st.join(lab, "doc_id")
 

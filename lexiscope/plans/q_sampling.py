@@ -90,7 +90,10 @@ WHERE rn <= CAST(floor(CAST(n AS DOUBLE) * 10.0 / 100.0) AS BIGINT)""")
 def q_cutoff_percent(spark, sf_dir):
     """10 % of every split ('10_10_10'), first rows in hash order."""
     pct = SM.parse_percent("10_10_10")[0]
-    return SM.take_percent(partitions(spark, sf_dir).select("id", "split"), pct, ["split"])
+    # the partitions are a written table before they are cut (lineage cut
+    # into the shared checkpoint folder), so two exact takes do not nest
+    parts = partitions(spark, sf_dir).select("id", "split").checkpoint()
+    return SM.take_percent(parts, pct, ["split"])
 
 
 @register("leave_out_genre", _PARTS + """

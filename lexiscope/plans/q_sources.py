@@ -49,8 +49,10 @@ def q_load_answers(spark, sf_dir):
     stale = t.where(F.col("id") % 5 == 0).select(F.to_json(F.struct(
         F.col("id").cast("string").alias("id"), F.lit(0.5).alias("label"))).alias("value"))
     path = IO.scratch_path(spark, "truth-jsonl")
-    stale.coalesce(1).union(lines.coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
-    return IO.load_answers(spark, path)
+    # earlier file first: the reader's order is (file path, block, line)
+    stale.write.mode("overwrite").text(os.path.join(path, "a-earlier"))
+    lines.write.mode("overwrite").text(os.path.join(path, "b-later"))
+    return IO.load_answers(spark, os.path.join(path, "*"))
 
 
 @register("write_partitions", _PARTS + "SELECT id, label, split FROM s_corpus")
