@@ -49,37 +49,43 @@ def mark_per_group(df: DataFrame, by: list[str], quotas: DataFrame | int, id_col
     """All rows of ``df`` plus boolean ``flag``: whether the row is among the
     first ``quota`` of its group in the order ``(md5(seed|id), id)``.
     ``quotas`` is a DataFrame ``(by..., quota)`` with one row per group, or
-    one int for all groups.
+    one int for all groups. Ids are unique row keys.
 
     Keep rule per row with hash digits (d0, d1) and group cuts (K0, K1):
     ``d0 < K0``, or ``d0 = K0 and d1 < K1``, or - inside the one bucket
-    ``(K0, K1)`` - a row number within the remaining need. The input is read
-    by two boundary aggregates (narrow columns only, after pruning), once for
-    the rows decided by their digits and once for the boundary bucket, which
-    alone meets a window. The boundary tables have one row per group and
-    join back without moving the large side when small (AQE turns them into
-    broadcasts at run time).
+    ``(K0, K1)`` - a row number within the remaining need.
+
+    The cuts come from a narrow projection ``(group, id)``: two boundary
+    aggregates give one row per group, and only the boundary bucket (~n/16.7M
+    rows of a group) meets a window. The wide input is then read once and
+    marked through a join with the per-group cut table and a left join with
+    the boundary-bucket verdicts - both small; AQE turns them into
+    broadcasts at run time when they are.
     """
     cols = df.columns
-    d = df.withColumn("_h", hash_key(id_col, seed))
-    d = d.withColumn("_d0", _digit("_h", 0)).withColumn("_d1", _digit("_h", 1))
+
+    def digits(x: DataFrame) -> DataFrame:
+        x = x.withColumn("_h", hash_key(id_col, seed))
+        return x.withColumn("_d0", _digit("_h", 0)).withColumn("_d1", _digit("_h", 1))
+
+    narrow = digits(df.select(*by, id_col))
     if isinstance(quotas, int):
-        d = d.withColumn("_need", F.lit(quotas).cast("long"))
+        narrow = narrow.withColumn("_need", F.lit(quotas).cast("long"))
     else:
-        d = d.join(quotas.select(*by, F.col("quota").cast("long").alias("_need")), by, "left") \
-             .withColumn("_need", F.coalesce(F.col("_need"), F.lit(0).cast("long")))
-    b0 = _boundary(d, by, "_d0", "_need", "0")
-    g1 = d.join(b0, by, "left")
-    b1 = _boundary(g1.where(F.col("_d0") == F.col("K0")), by, "_d1", "N0", "1")
-    g2 = g1.join(b1, by, "left")
-    at_edge = F.coalesce((F.col("_d0") == F.col("K0")) & (F.col("_d1") == F.col("K1")), F.lit(False))
+        narrow = narrow.join(quotas.select(*by, F.col("quota").cast("long").alias("_need")), by, "left") \
+                       .withColumn("_need", F.coalesce(F.col("_need"), F.lit(0).cast("long")))
+    b0 = _boundary(narrow, by, "_d0", "_need", "0")
+    b1 = _boundary(narrow.join(b0, by).where(F.col("_d0") == F.col("K0")), by, "_d1", "N0", "1")
+    cuts = b0.join(b1, by, "left").select(*by, "K0", "K1", "N1")
+    at_edge = (F.col("_d0") == F.col("K0")) & (F.col("_d1") == F.col("K1"))
+    w = Window.partitionBy(*by).orderBy("_h", id_col)
+    edge = (narrow.join(cuts, by).where(at_edge).withColumn("_rn", F.row_number().over(w))
+            .select(*by, id_col, (F.col("_rn") <= F.col("N1")).alias("_ek")))
     whole = (F.col("K0").isNull() | (F.col("_d0") < F.col("K0"))
              | ((F.col("_d0") == F.col("K0")) & (F.col("K1").isNull() | (F.col("_d1") < F.col("K1")))))
-    rest = g2.where(~at_edge).select(*cols, F.coalesce(whole, F.lit(False)).alias(flag))
-    # only the rows of the boundary bucket (~n/16.7M of a group) are ranked
-    w = Window.partitionBy(*by).orderBy("_h", id_col)
-    edge = g2.where(at_edge).withColumn("_rn", F.row_number().over(w))
-    return rest.unionByName(edge.select(*cols, (F.col("_rn") <= F.col("N1")).alias(flag)))
+    out = digits(df).join(cuts, by, "left").join(edge, [*by, id_col], "left")
+    keep = F.coalesce(F.col("_ek"), F.coalesce(whole, F.lit(False)) & ~F.coalesce(at_edge, F.lit(False)))
+    return out.select(*cols, keep.alias(flag))
 
 
 def take_per_group(df: DataFrame, by: list[str], quotas: DataFrame | int, id_col: str = "id",
