@@ -129,9 +129,9 @@ def norm_stopwords(c, stop: list[str] | None = None) -> Column:
     """Word-tokenise (B11 tokens), drop tokens whose lower-case form is a stop
     word, join with one blank."""
     stop = english_stop_words() if stop is None else stop
-    arr = F.array(*[F.lit(s) for s in stop])
     toks = F.regexp_extract_all(_c(c), F.lit(TOKEN_PATTERN), 0)
-    kept = F.filter(toks, lambda w: ~F.array_contains(arr, F.lower(w)))
+    # IN over many literals becomes a hash-set lookup (InSet)
+    kept = F.filter(toks, lambda w: ~F.lower(w).isin(list(stop)))
     return F.array_join(kept, " ")
 
 

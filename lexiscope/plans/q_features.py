@@ -63,10 +63,9 @@ f AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE NOT list_contains({_ST
 
 def _tfidf_tokens(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    stop = F.array(*[F.lit(w) for w in T.english_stop_words()])
-    t = docs.select("doc_id", F.explode(F.filter(T.tokenize_tfidf(F.col("text")),
-                                                 lambda w: ~F.array_contains(stop, w))).alias("term"))
-    return t
+    t = docs.select("doc_id", F.explode(T.tokenize_tfidf(F.col("text"))).alias("term"))
+    # IN over many literals is planned as a hash-set lookup (InSet)
+    return t.where(~F.col("term").isin(T.english_stop_words()))
 
 
 @register("term_frequency", _TF_SQL + "SELECT doc_id, term, tf FROM f")
