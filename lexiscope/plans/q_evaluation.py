@@ -175,3 +175,50 @@ def q_evaluate_with_offset(spark, sf_dir):
     j = M.join_answers(truth, ans).crossJoin(F.broadcast(off))  # one-row side
     j = j.withColumn("p", F.col("p") + F.col("best_offset")).drop("best_offset")
     return M.evaluate_scored(M.with_facets(j), ["facet", "value"])
+
+
+def _faceted(spark, sf_dir):
+    return M.with_facets(M.join_answers(X.truth(spark, sf_dir), X.answers(spark, sf_dir)))
+
+
+def _metric_sql(expr: str, name: str) -> str:
+    """One metric per facet value, unrounded metric shown to 9 digits."""
+    return with_ctes(["faceted"]) + f"""
+SELECT facet, value, round({expr}, 9) AS {name} FROM (
+  SELECT facet, value, {_COUNTS_SQL.replace("sum(CASE WHEN t = 1 THEN r + (c - 1) / 2.0 ELSE 0 END) AS srank", "0 AS srank")}
+  FROM (SELECT *, 0 AS r, 0 AS c FROM faceted) x GROUP BY facet, value) s"""
+
+
+def _metric_query(name: str, col: str):
+    def q(spark, sf_dir):
+        c = M.binary_counts(_faceted(spark, sf_dir), ["facet", "value"])
+        m = c.selectExpr("facet", "value", *M._METRICS)
+        return m.select("facet", "value", F.round(col, 9).alias(name))
+    q.__name__ = f"q_{name}"
+    return q
+
+
+register("c_at_1", _metric_sql(
+    "(1.0 / CAST(n AS DOUBLE)) * (CAST(nc AS DOUBLE) + (CAST(nu AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(n AS DOUBLE)))",
+    "c_at_1"))(_metric_query("c_at_1", "c_at_1"))                                  # I2
+register("f1_binary", _metric_sql(
+    "CASE WHEN tp + fp + fn_f1 > 0 THEN CAST(tp AS DOUBLE) * 2.0 / (CAST(tp AS DOUBLE) * 2.0 + CAST(fp AS DOUBLE) + CAST(fn_f1 AS DOUBLE)) END",
+    "f1_binary"))(_metric_query("f1_binary", "f1"))                               # I3
+register("f05u", _metric_sql(
+    "CASE WHEN CAST(tp AS DOUBLE) * 1.25 + CAST(fn + nu AS DOUBLE) * 0.25 + CAST(fp AS DOUBLE) <> 0.0 "
+    "THEN CAST(tp AS DOUBLE) * 1.25 / (CAST(tp AS DOUBLE) * 1.25 + CAST(fn + nu AS DOUBLE) * 0.25 + CAST(fp AS DOUBLE)) END",
+    "f05u"))(_metric_query("f05u", "f05u"))                                       # I4
+register("brier", _metric_sql("1.0 - sq / CAST(n AS DOUBLE)", "brier"))(_metric_query("brier", "brier"))  # I5
+
+
+@register("confusion", with_ctes(["faceted"]) + """
+SELECT facet, value,
+  CAST(sum(CASE WHEN t = 0 AND p < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_00,
+  CAST(sum(CASE WHEN t = 0 AND p >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_01,
+  CAST(sum(CASE WHEN t = 1 AND p < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_10,
+  CAST(sum(CASE WHEN t = 1 AND p >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS conf_11
+FROM faceted GROUP BY facet, value""")
+def q_confusion(spark, sf_dir):
+    """2x2 confusion per facet value (rows truth, prediction p >= 0.5)."""
+    c = M.binary_counts(_faceted(spark, sf_dir), ["facet", "value"])
+    return c.select("facet", "value", *M.CONFUSION_COLUMNS)

@@ -294,3 +294,25 @@ def q_project_vectors(spark, sf_dir):
     p = G.project(nv, G.projection_matrix(DIM, 256))
     return p.select("doc_id", "node", F.size("vec").alias("width"),
                     F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("vsum"))
+
+
+def _pool_sql(fn: str) -> str:
+    return with_ctes(["nv"]) + f"""
+SELECT doc_id, CAST(d AS INTEGER) AS dim, round({fn}(x), 6) AS value FROM (
+  SELECT nv.doc_id, unnest(range(64)) AS d,
+         unnest(coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0))) AS x
+  FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id) s
+GROUP BY doc_id, d"""
+
+
+def _pool_query(how: str):
+    def q(spark, sf_dir):
+        p = G.pool(node_vecs(spark, sf_dir), how)
+        return p.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
+            "doc_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+    q.__name__ = f"q_graph_pool_{how}"
+    return q
+
+
+register("graph_pool_max", _pool_sql("max"))(_pool_query("max"))   # G15 (max)
+register("graph_pool_sum", _pool_sql("sum"))(_pool_query("sum"))   # G15 (sum)

@@ -176,3 +176,26 @@ def q_score_corpus_graph(spark, sf_dir):
     m, raw = MD.fit_embedding_classifier(e, "logreg")
     out = m.transform(e.withColumn(raw, array_to_vector(F.col("vec"))))
     return out.select("id", decide(vector_to_array(F.col("probability"))[1]).alias("label"))
+
+
+@register("model_registry")
+def q_model_registry(spark, sf_dir):
+    """H9: a list of {algo, args} entries run in turn; each classifier is
+    looked up by name and scored on the test split -> (model, args, accuracy)."""
+    runs = [{"algo": "nb", "args": {}}, {"algo": "logreg", "args": {"regParam": 0.1}},
+            {"algo": "sgd", "args": {"maxIter": 10}}]
+    tr, te = _splits(spark, sf_dir)
+    from pyspark.ml import Pipeline
+    from lexiscope.operators.features import tfidf_stages
+    feats = Pipeline(stages=tfidf_stages(vocab_size=1 << 16)).fit(tr)
+    x = feats.transform(tr).select("id", "label", "features").persist()
+    out = None
+    for r in runs:
+        est = MD.base_estimator(r["algo"])
+        est = est.copy({est.getParam(k): v for k, v in r["args"].items()})
+        m = est.fit(x)
+        p = m.transform(feats.transform(te)).select("label", F.col("prediction").cast("int").alias("pred"))
+        row = M.accuracy(p).select(F.lit(r["algo"]).alias("model"), F.lit(str(r["args"])).alias("args"), "accuracy")
+        out = row if out is None else out.unionByName(row)
+    x.unpersist()
+    return out

@@ -124,3 +124,12 @@ def q_drop_null_text(spark, sf_dir):
 def q_project_columns(spark, sf_dir):
     """Keep text and label only (pruned at the scan)."""
     return X.corpus(spark, sf_dir).select("text", "label")
+
+
+@register("write_jsonl", with_ctes(["truth"]) + "SELECT id, label, source, model, genre FROM truth")
+def q_write_jsonl(spark, sf_dir):
+    """The truth table written as JSON lines (one object per line) and
+    read back with an explicit schema."""
+    path = IO.scratch_path(spark, "truth-jsonl")
+    IO.write_jsonl(X.truth(spark, sf_dir), path)
+    return IO.read_jsonl(spark, path, "id BIGINT, label DOUBLE, source STRING, model STRING, genre STRING")
