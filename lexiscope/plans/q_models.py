@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiscope.operators import metrics as M
 from lexiscope.operators import models as MD
 from lexiscope.plans.catalog import register
+from lexiscope.session import checkpointed
 from lexiscope.plans.q_sampling import partitions
 from lexiscope.sources import fixtures as X
 from lexiscope.sources import files as IO
@@ -17,7 +18,7 @@ from lexiscope.sources import files as IO
 def _splits(spark, sf_dir):
     """Train / test corpus; the split table is checkpointed (to the shared
     checkpoint folder) so iterative fits do not recompute the split plan."""
-    p = partitions(spark, sf_dir).select("id", "text", "label", "split").checkpoint()
+    p = checkpointed(partitions(spark, sf_dir).select("id", "text", "label", "split"))
     return p.where(F.col("split") == "train"), p.where(F.col("split") == "test")
 
 
@@ -47,7 +48,7 @@ def q_calibrated_classifier(spark, sf_dir):
 def _task2(spark, sf_dir):
     from lexiscope.operators.sampling import stratified_split
     c = X.task2_corpus(spark, sf_dir).select("id", "text", "label")
-    s = stratified_split(c, "label", 0.3).checkpoint()
+    s = checkpointed(stratified_split(c, "label", 0.3))
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 
 
@@ -142,8 +143,8 @@ def q_graph_embedding_classifier(spark, sf_dir):
     """Standardised graph embeddings + logistic regression; accuracy and
     macro F1 on a hash split."""
     from lexiscope.operators.sampling import stratified_split
-    e = graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id").checkpoint()
-    s = stratified_split(e, "label", 0.2).checkpoint()
+    e = checkpointed(graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id"))
+    s = checkpointed(stratified_split(e, "label", 0.2))
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     m, raw = MD.fit_embedding_classifier(tr, "logreg")
     from pyspark.ml.functions import array_to_vector
@@ -159,7 +160,7 @@ def q_pooled_mlp(spark, sf_dir):
     from lexiscope.plans.q_graph import node_vecs
     pooled = G.pool(node_vecs(spark, sf_dir), "mean")
     lab = X.corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), "label")
-    d = pooled.join(lab, "doc_id").checkpoint()
+    d = checkpointed(pooled.join(lab, "doc_id"))
     m = MD.fit_pooled_mlp(d)
     from pyspark.ml.functions import array_to_vector
     return m.transform(d.withColumn("features", array_to_vector(F.col("vec")))).select(
@@ -172,7 +173,7 @@ def q_score_corpus_graph(spark, sf_dir):
     undecided band -> (id, label) answers for every labelled document."""
     from lexiscope.functions.scalar import decide
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    e = graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id").checkpoint()
+    e = checkpointed(graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id"))
     m, raw = MD.fit_embedding_classifier(e, "logreg")
     out = m.transform(e.withColumn(raw, array_to_vector(F.col("vec"))))
     return out.select("id", decide(vector_to_array(F.col("probability"))[1]).alias("label"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiscope.functions.text import word_len
 from lexiscope.operators import sampling as SM
 from lexiscope.plans.catalog import register
+from lexiscope.session import checkpointed
 from lexiscope.plans.oracle import with_ctes
 from lexiscope.plans.q_text import _d_word_len
 from lexiscope.sources import fixtures as X
@@ -92,7 +93,7 @@ def q_cutoff_percent(spark, sf_dir):
     pct = SM.parse_percent("10_10_10")[0]
     # the partitions are a written table before they are cut (lineage cut
     # into the shared checkpoint folder), so two exact takes do not nest
-    parts = partitions(spark, sf_dir).select("id", "split").checkpoint()
+    parts = checkpointed(partitions(spark, sf_dir).select("id", "split"))
     return SM.take_percent(parts, pct, ["split"])
 
 

@@ -50,3 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def checkpointed(df):
+    """Cut lineage with a reliable checkpoint in the session's checkpoint
+    folder (never ``localCheckpoint``): the table is written once and
+    survives the loss of the executors that computed it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
