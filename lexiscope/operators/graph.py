@@ -71,9 +71,11 @@ def node_key(text: Column, pos: Column) -> Column:
 
 def graph_nodes(tokens: DataFrame) -> DataFrame:
     """Distinct nodes per document: ``ROOT_0`` plus ``lower(text)_POS``."""
-    toks = tokens.select("doc_id", node_key(F.col("text"), F.col("pos")).alias("node"), F.col("pos").alias("pos_tag"))
-    roots = tokens.select("doc_id").distinct().select("doc_id", F.lit(ROOT).alias("node"), F.lit(ROOT).alias("pos_tag"))
-    return toks.unionByName(roots).distinct()
+    # every token contributes its own node and its document's ROOT_0; the
+    # distinct collapses repeats map-side (partial aggregation), one pass
+    pair = F.array(F.struct(node_key(F.col("text"), F.col("pos")).alias("node"), F.col("pos").alias("pos_tag")),
+                   F.struct(F.lit(ROOT).alias("node"), F.lit(ROOT).alias("pos_tag")))
+    return tokens.select("doc_id", F.explode(pair).alias("n")).select("doc_id", "n.node", "n.pos_tag").distinct()
 
 
 def token_edges(info: DataFrame) -> DataFrame:
