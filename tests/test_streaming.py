@@ -30,3 +30,20 @@ def test_running_metrics_match_batch(spark):
     assert set(got) == set(want)
     for k, r in want.items():
         assert (got[k].n, got[k].conf_11, got[k].conf_00) == (r.n, r.conf_11, r.conf_00)
+
+
+def test_score_stream_matches_batch(spark):
+    from lexiscope.operators import models as MD
+    from lexiscope.plans.q_sampling import partitions
+    from lexiscope.session import checkpointed
+    base = tempfile.mkdtemp(prefix="score-", dir="/tmp")
+    p = checkpointed(partitions(spark, SF).select("id", "text", "label", "split"))
+    tr, te = p.where("split = 'train'"), p.where("split = 'test'")
+    feats, clf = MD.fit_text_classifier(tr, "nb", calibrated=False, vocab_size=1 << 12)
+    te.select(F.col("id").cast("string").alias("id"), "text").write.json(os.path.join(base, "in"))
+    q = S.score_stream(S.text_stream(spark, os.path.join(base, "in")), feats, clf,
+                       os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    q.awaitTermination(120)
+    got = {r.id: r.label for r in spark.read.schema("id STRING, label DOUBLE").json(os.path.join(base, "out")).collect()}
+    want = {str(r.id): r.label for r in MD.score(feats, clf, te).collect()}
+    assert got == want
