@@ -20,7 +20,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # Words of two or more word characters (unigram vectoriser default).
 TFIDF_PATTERN = r"[\p{L}\p{N}_]{2,}"
 APOSTROPHE_PATTERN = r"([A-Za-z]+)['`]([A-Za-z]+)"
-HTML_TAG_PATTERN = r"<.*?>"
+# (?d): only \n ends a line for '.', as in Python (Java also stops at \r,
+# U+0085, U+2028, U+2029 by default).
+HTML_TAG_PATTERN = r"(?d)<.*?>"
 # Whitespace run; (?U) makes Java's \s Unicode-aware (U+00A0 etc.).
 BLANK_PATTERN = r"(?U)\s+"
 

@@ -58,3 +58,27 @@ def checkpointed(df):
     survives the loss of the executors that computed it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int,
+                        target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle sizing for large inputs, applied only where the cluster has not
+    chosen a value: enough shuffle partitions that each holds about
+    ``target_partition_bytes`` of the input (AQE then coalesces small ones and
+    splits skewed ones), skew-join handling on, and the advisory partition
+    size AQE aims for. Returns the settings it applied."""
+    applied = {}
+
+    def put(key, value):
+        if spark.conf.get(key, None) in (None, "", "200"):  # 200 = Spark's untouched default
+            spark.conf.set(key, str(value))
+            applied[key] = str(value)
+
+    put("spark.sql.shuffle.partitions", max(200, int(input_bytes // target_partition_bytes)))
+    for key, value in (("spark.sql.adaptive.enabled", "true"),
+                       ("spark.sql.adaptive.skewJoin.enabled", "true"),
+                       ("spark.sql.adaptive.advisoryPartitionSizeInBytes", target_partition_bytes)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+            applied[key] = str(value)
+    return applied
