@@ -109,17 +109,28 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 # A9
+# Report keys of the evaluation JSON (fixed values).
+REPORT_KEYS = [("roc_auc", "roc-auc"), ("brier", "brier"), ("c_at_1", "c@1"), ("f1", "f1"),
+               ("f05u", "f05u"), ("mean_score", "mean")]
+
+
 def evaluation_json(result: DataFrame) -> DataFrame:
-    """One JSON document per evaluation: overall metrics plus nested
-    ``_eval-<facet>`` objects, built with ``to_json`` on the cluster."""
-    metrics = ["roc_auc", "brier", "c_at_1", "f1", "f05u", "mean_score"]
-    rec = F.struct(*[F.col(m) for m in metrics],
+    """One JSON document per evaluation: the overall metrics and confusion at
+    the top level plus one ``_eval-<facet>`` object per facet mapping each
+    value to its metrics - built with ``to_json`` on the cluster (the
+    per-facet maps hold one entry per facet value)."""
+    rec = F.struct(*[F.col(c).alias(k) for c, k in REPORT_KEYS],
                    F.array(F.array("conf_00", "conf_01"), F.array("conf_10", "conf_11")).alias("confusion"))
     per = result.where(F.col("facet") != "all").groupBy("facet").agg(
         F.map_from_entries(F.collect_list(F.struct("value", rec))).alias("m"))
-    facets = per.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("_eval-"), F.col("facet")), "m"))).alias("f"))
-    overall = result.where(F.col("facet") == "all").select(rec.alias("o"))
-    return overall.crossJoin(facets).select(F.to_json(F.struct("o", "f")).alias("json"))
+    facets = per.agg(F.map_from_entries(F.collect_list(
+        F.struct(F.concat(F.lit("_eval-"), F.col("facet")), "m"))).alias("f"))
+    keep_nulls = {"ignoreNullFields": "false"}  # null metrics stay in the report
+    overall = result.where(F.col("facet") == "all").select(F.to_json(rec, keep_nulls).alias("o"))
+    j = overall.crossJoin(facets).select("o", F.to_json("f", keep_nulls).alias("f"))
+    merged = F.when(F.col("f").isNull() | (F.col("f") == "{}"), F.col("o")).otherwise(
+        F.concat(F.expr("substring(o, 1, length(o) - 1)"), F.lit(","), F.expr("substring(f, 2)")))
+    return j.select(merged.alias("json"))
 
 
 def evaluation_flat(result: DataFrame) -> DataFrame:

@@ -88,3 +88,15 @@ def test_answer_file_rules(spark):
 def test_answer_file_errors(spark, line):
     with pytest.raises(Exception):
         IO.load_answers(spark, _write([line])).collect()
+
+
+def test_evaluation_json_shape(spark):
+    import json
+    df = spark.createDataFrame([("all", "all", 3, None, 0.5, 0.6, None, 0.1, 0.3, 1, 0, 2, 0),
+                                ("genre", "en", 3, None, 0.5, 0.6, None, 0.1, 0.3, 1, 0, 2, 0)],
+                               "facet string, value string, n long, roc_auc double, brier double, c_at_1 double, "
+                               "f1 double, f05u double, mean_score double, conf_00 long, conf_01 long, "
+                               "conf_10 long, conf_11 long")
+    d = json.loads(IO.evaluation_json(df).first()[0])
+    assert d["roc-auc"] is None and d["c@1"] == 0.6 and d["confusion"] == [[1, 0], [2, 0]]
+    assert d["_eval-genre"]["en"]["mean"] == 0.3
