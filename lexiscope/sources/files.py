@@ -143,6 +143,10 @@ def evaluation_flat(result: DataFrame) -> DataFrame:
 
 
 def write_evaluation(result: DataFrame, path: str) -> None:
+    """JSON report and flat dump. The result (one row per facet value) is
+    materialised once so the two writes do not evaluate twice."""
+    from lexiscope.session import checkpointed
+    result = checkpointed(result)
     evaluation_json(result).coalesce(1).write.mode("overwrite").text(os.path.join(path, "json"))
     evaluation_flat(result).coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(path, "flat"))
 
