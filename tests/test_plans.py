@@ -20,7 +20,19 @@ def test_token_join_is_not_broadcast(spark):
     from lexiscope.operators.graph import token_info
     from lexiscope.sources import fixtures as X
     p = _plan(token_info(X.tokens(spark, SF)))
-    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+    assert "BroadcastHashJoin" not in p
+
+
+def test_token_info_gap_positions(spark):
+    """Sentences with gaps in token positions take the join path."""
+    from lexiscope.operators.graph import token_info
+    rows = [(1, 0, 0, "a", "a", "NOUN", "ROOT", 0), (1, 0, 5, "b", "b", "NOUN", "dep", 0),
+            (1, 0, 9, "c", "c", "NOUN", "dep", 5), (2, 0, 0, "x", "x", "NOUN", "ROOT", 0),
+            (2, 0, 1, "y", "y", "NOUN", "dep", 0)]
+    t = spark.createDataFrame(rows, "doc_id long, sent_id int, i int, text string, lemma string, pos string, "
+                                    "dep string, head_i int")
+    got = {(r.doc_id, r.i): r.head_text for r in token_info(t).collect()}
+    assert got == {(1, 0): "a", (1, 5): "a", (1, 9): "b", (2, 0): "x", (2, 1): "x"}
 
 
 def test_filters_pushed_to_scan(spark):
