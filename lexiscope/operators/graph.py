@@ -60,29 +60,23 @@ def token_info(tokens: DataFrame) -> DataFrame:
 
     Heads live in the same sentence. Tokens are grouped per sentence (one
     shuffle; a sentence is bounded by its document) into an array sorted by
-    position; where positions are contiguous the head is an O(1) array
-    access. Sentences with gaps in their positions (any parser table may
-    have them) take a shuffle self-join on (doc_id, sent_id, head_i) instead,
-    so the result is the same for every input."""
+    position and exploded again in the same pass. Where positions are
+    contiguous (the usual parser output) the head is an O(1) array access;
+    a sentence with gaps in its positions finds the head with
+    ``array_position`` over that sentence's positions instead, so any token
+    table gives the right result without a second branch or a join."""
     tok = F.struct("i", "text", "lemma", "pos", "dep", "head_i")
     s = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(tok)).alias("a"))
     s = s.select("doc_id", "sent_id", "a", F.col("a")[0]["i"].alias("i0"),
-                 ((F.element_at("a", -1)["i"] - F.col("a")[0]["i"]) == F.size("a") - 1).alias("dense"))
-    dense = s.where("dense").select("doc_id", "sent_id", "i0", "a", F.explode("a").alias("t"))
-    h = F.try_element_at(F.col("a"), (F.col("t.head_i") - F.col("i0") + 1).cast("int"))
-    fast = dense.select("doc_id", "sent_id", "t.i", "t.text", "t.lemma", "t.pos", "t.dep", "t.head_i",
-                        h["text"].alias("head_text"), h["lemma"].alias("head_lemma"), h["pos"].alias("head_pos"),
-                        (F.col("t.dep") == "ROOT").alias("is_root"))
-    gaps = s.where(~F.col("dense")).select("doc_id", "sent_id", F.explode("a").alias("t")).select(
-        "doc_id", "sent_id", "t.*")
-    hd = gaps.select("doc_id", "sent_id", F.col("i").alias("head_i"), F.col("text").alias("head_text"),
-                     F.col("lemma").alias("head_lemma"), F.col("pos").alias("head_pos"))
-    # a shuffle (sort-merge) join: a static size estimate of an exploded
-    # table ignores the explode and could otherwise pick a broadcast
-    slow = gaps.join(hd.hint("merge"), ["doc_id", "sent_id", "head_i"], "left").select(
-        "doc_id", "sent_id", "i", "text", "lemma", "pos", "dep", "head_i", "head_text", "head_lemma", "head_pos",
-        (F.col("dep") == "ROOT").alias("is_root"))
-    return fast.select(*_INFO_COLS).unionByName(slow.select(*_INFO_COLS))
+                 ((F.element_at("a", -1)["i"] - F.col("a")[0]["i"]) == F.size("a") - 1).alias("dense"),
+                 F.transform("a", lambda x: x["i"]).alias("ix"))
+    r = s.select("doc_id", "sent_id", "a", "i0", "dense", "ix", F.explode("a").alias("t"))
+    k = F.when(F.col("dense"), (F.col("t.head_i") - F.col("i0") + 1).cast("int")).otherwise(
+        F.array_position(F.col("ix"), F.col("t.head_i")).cast("int"))
+    h = F.when((k >= 1) & (k <= F.size("a")), F.element_at(F.col("a"), k))
+    return r.select("doc_id", "sent_id", "t.i", "t.text", "t.lemma", "t.pos", "t.dep", "t.head_i",
+                    h["text"].alias("head_text"), h["lemma"].alias("head_lemma"), h["pos"].alias("head_pos"),
+                    (F.col("t.dep") == "ROOT").alias("is_root"))
 
 
 def node_key(text: Column, pos: Column) -> Column:
