@@ -50,6 +50,7 @@ FREQUENT_CLASSES = 8
 SMALL_SET = 14
 BITMAP_BITS = 1024
 PIVOTS = 4
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -172,6 +173,61 @@ def indexed(docs: DataFrame, flags: np.ndarray, key: str, text: str, bits: int =
                               "pairs array<long>, bitmap binary"))
 
 
+def spread(data: DataFrame, ask: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows of both sides of a comparison within groups of equal ``key``, dealt
+    to blocks (part, dp, qp) so that each row of ``ask`` meets each row of
+    ``data`` of its group in one block, and a group has at most about
+    ``block`` rows of either side in one. Small groups share parts."""
+    grid = (data.groupBy(key).agg(F.count("*").alias("nd"))
+            .join(ask.groupBy(key).agg(F.count("*").alias("nq")), key)
+            .select(key, F.ceil(F.col("nd") / block).cast("int").alias("dn"),
+                    F.ceil(F.col("nq") / block).cast("int").alias("qn")))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = data.join(grid, key).withColumn("dp", deal("dn")).withColumn("qp", every("qn"))
+    right = ask.join(grid, key).withColumn("qp", deal("qn")).withColumn("dp", every("dn"))
+    return (left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
+            .drop("dn", "qn"))
+
+
+def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of frequent groups that are not in their pivot's component,
+    against all members in other components: only pairs that sizes and bitmaps
+    allow leave the blocks."""
+    of = labels.select(F.col("node").alias("doc_id"), "component")
+    own = F.coalesce("component", "doc_id").alias("c")
+    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    members = materialized(groups.join(of, "doc_id", "left").select("sig", "doc_id", "n", "pivot", own)
+                           .join(of_pivot, "pivot", "left")
+                           .select("sig", "doc_id", "n", "c", (F.col("c") != F.coalesce("pc", "pivot")).alias("stray")))
+    mixed = members.where("stray").select("sig").distinct()
+    maps = nodes.select("doc_id", F.col("n"), "bitmap")
+    data = members.join(mixed, "sig", "left_semi").join(maps, ["doc_id", "n"])
+    data = materialized(data.select("sig", "doc_id", "n", "c", "stray", "bitmap"))
+    parts = max(1, data.count() // BLOCK)
+    rows = spread(data.drop("stray"), data.where("stray").drop("stray"), "sig", BLOCK)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("sig", kind="stable")
+        sig, doc, n, c, asks = (b[x].to_numpy() for x in ("sig", "doc_id", "n", "c", "asks"))
+        bits = np.frombuffer(b"".join(b.bitmap), np.uint64).reshape(len(b), -1)
+        edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+        out = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            side = asks[lo:hi]
+            these = lo + np.flatnonzero(~side)
+            for q in lo + np.flatnonzero(side):
+                total = n[these].astype(np.int64) + n[q]
+                ok = these[(c[these] != c[q]) & (10 * np.minimum(n[these], n[q]) >= 8 * np.maximum(n[these], n[q]))
+                           & (18 * np.bitwise_count(bits[these] ^ bits[q]).sum(axis=1, dtype=np.int64) <= 2 * total)]
+                if len(ok):
+                    out.append(np.column_stack([np.minimum(doc[ok], doc[q]), np.maximum(doc[ok], doc[q])]))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    return (rows.withColumn("part", F.pmod("sig", F.lit(parts))).groupBy("part", "dp", "qp")
+            .applyInPandas(run, "a long, b long").distinct())
+
+
 def length_ok(a, b):
     """Sizes that a linked pair may have."""
     return (10 * F.least(a, b) >= 8 * F.greatest(a, b))
@@ -316,12 +372,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     labels = materialized(components(links))
 
     # members of frequent groups outside their pivot's component meet the others
-    strays = apart(groups.select("sig", "doc_id", "n", "pivot"), labels, "doc_id", "pivot").drop("pivot")
-    others = groups.select("sig", F.col("doc_id").alias("other"), F.col("n").alias("other_n"))
-    late = (strays.join(others, "sig")
-            .where((F.col("doc_id") != F.col("other")) & length_ok(F.col("n"), F.col("other_n")))
-            .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
-    late = bounded(apart(late, labels).join(candidates, ["a", "b"], "left_anti"), nodes)
+    small_batches(spark, LIGHT_ROWS)
+    late = stray_pairs(groups, labels, nodes).join(candidates, ["a", "b"], "left_anti")
     labels = materialized(components(links.unionByName(verified(late, texts))))
     return (member.join(labels, member.node == labels.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
