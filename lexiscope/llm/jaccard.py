@@ -190,10 +190,11 @@ def spread(data: DataFrame, ask: DataFrame, key: str, block: int) -> DataFrame:
             .drop("dn", "qn"))
 
 
-def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """Members of frequent groups that are not in their pivot's component,
     against all members in other components: only pairs that sizes and bitmaps
-    allow leave the blocks."""
+    allow leave the blocks. With ``nearest``, of those that join a member with
+    one component only the pair whose bitmaps differ least."""
     of = labels.select(F.col("node").alias("doc_id"), "component")
     own = F.coalesce("component", "doc_id").alias("c")
     of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
@@ -218,9 +219,14 @@ def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
             these = lo + np.flatnonzero(~side)
             for q in lo + np.flatnonzero(side):
                 total = n[these].astype(np.int64) + n[q]
-                ok = these[(c[these] != c[q]) & (10 * np.minimum(n[these], n[q]) >= 8 * np.maximum(n[these], n[q]))
-                           & (18 * np.bitwise_count(bits[these] ^ bits[q]).sum(axis=1, dtype=np.int64) <= 2 * total)]
+                differ = np.bitwise_count(bits[these] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                ok = np.flatnonzero((c[these] != c[q]) & (18 * differ <= 2 * total)
+                                    & (10 * np.minimum(n[these], n[q]) >= 8 * np.maximum(n[these], n[q])))
                 if len(ok):
+                    if nearest:
+                        ok = ok[np.lexsort((differ[ok], c[these[ok]]))]
+                        ok = ok[np.unique(c[these[ok]], return_index=True)[1]]
+                    ok = these[ok]
                     out.append(np.column_stack([np.minimum(doc[ok], doc[q]), np.maximum(doc[ok], doc[q])]))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
@@ -371,10 +377,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     links = links.unionByName(verified(apart(candidates, labels), texts))
     labels = materialized(components(links))
 
-    # members of frequent groups outside their pivot's component meet the others
-    small_batches(spark, LIGHT_ROWS)
-    late = stray_pairs(groups, labels, nodes).join(candidates, ["a", "b"], "left_anti")
-    labels = materialized(components(links.unionByName(verified(late, texts))))
+    # members of frequent groups outside their pivot's component meet the
+    # others: first the nearest of each component, then whatever is still apart
+    seen = candidates
+    for nearest in (True, False):
+        small_batches(spark, LIGHT_ROWS)
+        late = materialized(stray_pairs(groups, labels, nodes, nearest).join(seen, ["a", "b"], "left_anti"))
+        links = links.unionByName(verified(late, texts))
+        labels = materialized(components(links))
+        seen = seen.unionByName(late)
     return (member.join(labels, member.node == labels.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", member.node, "doc_id").alias("component_id")))
