@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiscope.llm import decontam, jaccard, packing, quality, toxicity
 from lexiscope.llm.common import read
-from lexiscope.llm.queries import QUALITY_KEPT, TOXIC_FROM, labelled, tokenizer_path
+from lexiscope.llm.queries import QUALITY_KEPT, TOXIC_FROM, learnt_from, tokenizer_path
 from lexiscope.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(labelled(docs, read(spark, sf_dir, "labels"), "toxic", 3, 1))
+    model = toxicity.fit(docs, learnt_from(read(spark, sf_dir, "labels"), 3, 1))
     return toxicity.score(docs, model, out="_toxicity").where(f"_toxicity < {TOXIC_FROM}").drop("_toxicity")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", 5, 0))
+    model = quality.fit(docs, learnt_from(read(spark, sf_dir, "labels"), 5, 0))
     return quality.score(docs, model, out="_quality").where(f"_quality >= {QUALITY_KEPT}").drop("_quality")
 
 

@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 from lexiscope.llm.common import sample_by_hash, small_batches
 
 
-def labelled_features(rows: DataFrame, text: str, label: str, key: str, per_class: int,
+def labelled_features(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, per_class: int,
                       features: Callable[[str | None], np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """(label, distinct feature indices) of about ``per_class`` rows of each
-    label, chosen by a hash of ``key``. Rows whose label is not 0 or 1 or whose
-    key is null are not learnt from. This bounded sample is all that reaches
-    the driver; the order is by hash, so that training does not depend on the
-    partitioning."""
-    small_batches(rows.sparkSession)
-    clean = rows.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"),
-                        F.col(text).alias("t")).where("y in (0, 1) and k is not null")
+    """(label, distinct feature indices) of documents with a label: about
+    ``per_class`` rows of each label, chosen from the labels by a hash of
+    ``key``. Labels other than 0 and 1 and null keys are not learnt from. The
+    sample is bounded, so it is broadcast to the documents instead of moving
+    their texts, and is all that reaches the driver; the order is by hash, so
+    that training does not depend on the partitioning."""
+    small_batches(docs.sparkSession)
+    clean = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(
+        "y in (0, 1) and k is not null")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["x"] = [np.unique(features(t)).astype(np.int32).tobytes() for t in b.t]
             yield b[["h", "y", "x"]]
 
-    sample = sample_by_hash(clean, "k", per_class, "y")
-    got = (sample.withColumn("h", F.xxhash64(F.col("k"), F.lit(5)))
+    sample = F.broadcast(sample_by_hash(clean, "k", per_class, "y"))
+    got = (docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k")
+           .withColumn("h", F.xxhash64(F.col("k"), F.lit(5)))
            .mapInPandas(extract, "h long, y int, x binary").toPandas())
     got = got.sort_values(["h", "y", "x"], kind="stable")
     return [(int(y), np.frombuffer(x, np.int32)) for y, x in zip(got.y, got.x)]

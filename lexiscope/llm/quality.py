@@ -126,11 +126,11 @@ def train(examples: list[tuple[int, np.ndarray]], bits: int = BITS, cost: float
     return m
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
         bits: int = BITS, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows: about ``per_class`` rows of
-    each label, by a hash of ``key``."""
-    return train(labelled_features(rows, text, label, key, per_class,
+    """Fit on a bounded sample of the documents that have a label: about
+    ``per_class`` rows of each label, by a hash of ``key``."""
+    return train(labelled_features(docs, labels, text, label, key, per_class,
                                    lambda t: ngram_indicators(t, bits)), bits)
 
 

@@ -19,10 +19,9 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
-    """Documents with their label, without the held-out ids."""
-    y = labels.select("doc_id", label).where(crc_mod("doc_id", mod) != held)
-    return docs.select("doc_id", "text").join(y, "doc_id")
+def learnt_from(labels: DataFrame, mod: int, held: int) -> DataFrame:
+    """Labels without those of the held-out ids."""
+    return labels.where(crc_mod("doc_id", mod) != held)
 
 
 def held_out(mod: int, held: int):
@@ -60,7 +59,7 @@ def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(labelled(docs, read(spark, sf_dir, "labels"), "toxic", 3, 1))
+    model = toxicity.fit(docs, learnt_from(read(spark, sf_dir, "labels"), 3, 1))
     return (toxicity.score(docs, model)
             .select("doc_id", held_out(3, 1).alias("held_out"), "score",
                     (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")))
@@ -91,7 +90,7 @@ def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", 5, 0))
+    model = quality.fit(docs, learnt_from(read(spark, sf_dir, "labels"), 5, 0))
     return (quality.score(docs, model)
             .select("doc_id", held_out(5, 0).alias("held_out"), "score",
                     (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted")))

@@ -22,7 +22,7 @@ from lexiscope.llm.features import skipgram_features
 from lexiscope.llm.linear import labelled_features, scored, sigmoid
 
 BITS = 18
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 3000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 0.1
 
@@ -92,11 +92,11 @@ def train(examples: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int
     return ToxicityModel(bits, w[:-1].astype(np.float32), float(w[-1]), bool(examples))
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
         bits: int = BITS, per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS) -> ToxicityModel:
-    """Fit on a bounded sample of the labelled rows: about ``per_class`` rows of
-    each label, by a hash of ``key``."""
-    return train(labelled_features(rows, text, label, key, per_class,
+    """Fit on a bounded sample of the documents that have a label: about
+    ``per_class`` rows of each label, by a hash of ``key``."""
+    return train(labelled_features(docs, labels, text, label, key, per_class,
                                    lambda t: skipgram_features(t, bits)), bits, epochs)
 
 
