@@ -57,31 +57,24 @@ def vocab_by_freq(tokens: DataFrame, min_freq: int = 1, max_features: int = 5000
 
 
 def index_tokens(tokens: DataFrame, voc: DataFrame, term: str = "term") -> DataFrame:
-    """token -> vocabulary index. The vocabulary is bounded by
-    ``max_features``, so broadcasting it is safe; out-of-vocabulary tokens
-    are dropped."""
+    """token -> vocabulary index; out-of-vocabulary tokens are dropped. The
+    join is left to AQE, which sees the vocabulary's real size."""
     v = voc.select(F.col("term").alias(term), "idx")
-    return tokens.join(F.broadcast(v), term)
+    return tokens.join(v, term)
 
 
-BROADCAST_TERMS = 1_000_000  # ~40 MB of (term, idf) rows at most
-
-
-def tfidf(tokens: DataFrame, doc: str = "doc_id", term: str = "term", n_docs=None,
-          broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def tfidf(tokens: DataFrame, doc: str = "doc_id", term: str = "term", n_docs=None) -> DataFrame:
     """``tf · (ln((1+n)/(1+df)) + 1)``, L2-normalised per document ->
     ``(doc_id, term, weight)``.
 
     The per-document term counts are materialised once (a checkpoint in the
-    shared folder: read twice below, and a lineage cut). The document
-    frequency table is then counted - the size check - and broadcast only
-    when it has at most ``broadcast_terms`` rows; a larger vocabulary takes
-    the shuffle join, where AQE splits very common (skewed) terms. The L2
+    shared folder: read twice below, and a lineage cut). The join
+    with the document frequencies is left to AQE, which broadcasts them only
+    below its byte threshold and else splits very common (skewed) terms. The L2
     norm is a window over one document's distinct terms."""
     from lexiscope.session import checkpointed
     tf = checkpointed(term_frequency(tokens, doc, term))
     df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
-    n_terms = df.count()
     if n_docs is None:
         n_docs = tf.select(doc).distinct().agg(F.count(F.lit(1)).alias("n"))
     if isinstance(n_docs, DataFrame):
@@ -90,7 +83,6 @@ def tfidf(tokens: DataFrame, doc: str = "doc_id", term: str = "term", n_docs=Non
         df = df.withColumn("_n", F.lit(int(n_docs)))
     idf = F.log((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0
     d = df.select(term, idf.alias("idf"))
-    d = F.broadcast(d) if n_terms <= broadcast_terms else d
     w = tf.join(d, term).select(doc, term, (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.select(doc, term, (F.col("w") / norm).alias("weight"))

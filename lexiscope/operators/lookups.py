@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def facet_ids(df: DataFrame, col: str, unknown: str = "unknown") -> DataFrame:
-    """Sorted distinct values of ``col`` numbered 0..n-1 plus ``unknown`` = n.
+    """Sorted distinct values of ``col`` numbered 0..n-1 plus ``unknown`` = n
+    (one entry for ``unknown``, also where the data hold that value).
     The numbering window runs over the distinct values only (a facet's
     vocabulary), after a shuffle-side distinct."""
-    d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    d = df.select(F.col(col).alias("value")).where(F.col("value") != unknown).distinct()
     ids = d.withColumn("fid", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
     n = ids.agg(F.count(F.lit(1)).cast("int").alias("fid")).select(F.lit(unknown).alias("value"), "fid")
     return ids.unionByName(n)

@@ -311,9 +311,12 @@ def confusion_long(df: DataFrame, truth: str = "label", pred: str = "pred") -> D
 
 
 def cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label", by: list[str] = ()) -> DataFrame:
-    """Mean of -ln softmax(logits)[label], every row weighted equally."""
-    pr = softmax(F.col(logits))
-    nll = -F.log(F.element_at(pr, F.col(label).cast("int") + 1))
+    """Mean of -ln softmax(logits)[label], every row weighted equally, in the
+    form max + ln(sum(exp(x - max))) - x[label] that cannot underflow."""
+    x = F.transform(F.col(logits), lambda v: v.cast("double"))
+    top = F.array_max(x)
+    mass = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    nll = top + F.log(mass) - F.element_at(x, F.col(label).cast("int") + 1)
     return df.groupBy(*by).agg(F.avg(nll).alias("cross_entropy"))
 
 

@@ -76,7 +76,7 @@ class CalibratedClassifier(Estimator, HasFeaturesCol, HasLabelCol):
 
     def _fit(self, df: DataFrame):
         lab, feat = self.getLabelCol(), self.getFeaturesCol()
-        d = df.withColumn("_fold", F.abs(F.xxhash64(hash_key(self._id, "fold"))) % self._folds)
+        d = df.withColumn("_fold", F.pmod(F.xxhash64(hash_key(self._id, "fold")), F.lit(self._folds)))
         pairs = []
         for k in range(self._folds):
             tr = d.where(F.col("_fold") != k)

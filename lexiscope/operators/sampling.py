@@ -123,13 +123,13 @@ def stratified_split(df: DataFrame, by: str = "label", test_ratio: float = 0.2,
 
 def take_percent(df: DataFrame, pct: float, by: list[str] = (), seed: int | str = DEFAULT_SEED,
                  id_col: str = "id") -> DataFrame:
-    """The first ``int(n·pct/100)`` rows (per ``by`` group) in hash order."""
+    """The first ``int(n·(pct/100))`` rows (per ``by`` group) in hash order."""
     by = list(by)
     if by:
-        q = df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * F.lit(float(pct)) / 100.0).cast("long").alias("quota"))
+        q = df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * F.lit(float(pct) / 100.0)).cast("long").alias("quota"))
         return take_per_group(df, by, q, id_col, seed)
     d = df.withColumn("_g", F.lit(0))
-    q = d.groupBy("_g").agg(F.floor(F.count(F.lit(1)) * F.lit(float(pct)) / 100.0).cast("long").alias("quota"))
+    q = d.groupBy("_g").agg(F.floor(F.count(F.lit(1)) * F.lit(float(pct) / 100.0)).cast("long").alias("quota"))
     return take_per_group(d, ["_g"], q, id_col, seed).drop("_g")
 
 

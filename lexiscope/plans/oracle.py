@@ -49,10 +49,10 @@ CTE = {
       WHEN tok IN ('he','she','it','they','we','you','i') THEN 'PRON'
       ELSE 'NOUN' END AS pos FROM raw_tokens) q)""",
     "token_ids": r"""token_ids AS (
-  SELECT doc_id, CAST(k + 1 AS INTEGER) AS pos, token, CAST((length(token) * 31 + ascii(token)) % 500 AS BIGINT) AS vec_id
+  SELECT doc_id, CAST(k + 1 AS INTEGER) AS pos, token, CAST((length(token) * 31 + ascii(token)) % (SELECT count(*) FROM embeddings) AS BIGINT) AS vec_id
   FROM (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS token
         FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS a FROM documents) s) t
-  UNION ALL SELECT doc_id, 0, '', CAST(doc_id % 500 AS BIGINT) FROM documents)""",
+  UNION ALL SELECT doc_id, 0, '', CAST(doc_id % (SELECT count(*) FROM embeddings) AS BIGINT) FROM documents)""",
     "nodes": """nodes AS (
   SELECT DISTINCT doc_id, concat_ws('_', lower(text), pos) AS node, pos AS pos_tag FROM tokens
   UNION SELECT DISTINCT doc_id, 'ROOT_0', 'ROOT_0' FROM tokens)""",

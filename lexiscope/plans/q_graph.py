@@ -244,7 +244,7 @@ def q_graph_pool(spark, sf_dir):
 
 
 @register("gcn_propagate", with_ctes(["nv", "fedges"], ["""x AS (
-  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[])[1:4], [0.0, 0.0, 0.0, 0.0]) AS v
+  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0)) AS v
   FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id)""",
     """se AS (SELECT DISTINCT doc_id, src, dst FROM (
       SELECT doc_id, src, dst FROM fedges UNION ALL SELECT doc_id, dst, src FROM fedges) u WHERE src <> dst)""",
@@ -257,31 +257,39 @@ def q_graph_pool(spark, sf_dir):
   JOIN deg dd ON dd.doc_id = se.doc_id AND dd.node = se.dst
   UNION ALL SELECT x.doc_id, x.node, x.v, 1.0 / deg.deg FROM x JOIN deg ON x.doc_id = deg.doc_id AND x.node = deg.node)"""])
     + """
-SELECT doc_id, node, CAST(d AS INTEGER) AS dim, round(sum(w * val), 6) AS value FROM (
-  SELECT doc_id, node, w, unnest(range(4)) AS d, unnest(v) AS val FROM msg) s
-GROUP BY doc_id, node, d""")
+SELECT doc_id, CAST(d AS INTEGER) AS dim, round(sum(value), 5) AS total, round(sum(value * value), 5) AS squares FROM (
+  SELECT doc_id, node, d, sum(w * val) AS value FROM (
+    SELECT doc_id, node, w, unnest(range(64)) AS d, unnest(v) AS val FROM msg) s
+  GROUP BY doc_id, node, d) x
+GROUP BY doc_id, d""")
 def q_gcn_propagate(spark, sf_dir):
-    """One round of normalised propagation over the undirected graph,
-    on the first four vector components."""
-    nv = node_vecs(spark, sf_dir).select("doc_id", "node", F.slice("vec", 1, 4).alias("vec"))
+    """One round of normalised propagation over the undirected graph, on
+    all vector components; per document and component the sum and the sum of
+    squares over its nodes' new vectors."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
     x = G.propagate(nv, graphs(spark, sf_dir)[1], hops=1, directed=False)
-    return x.select("doc_id", "node", F.posexplode("vec").alias("dim", "value")).select(
-        "doc_id", "node", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+    v = x.select("doc_id", F.posexplode("vec").alias("dim", "value"))
+    return v.groupBy("doc_id", F.col("dim").cast("int").alias("dim")).agg(
+        F.round(F.sum("value"), 5).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squares"))
+
+
+# attention gate over all components, by a rule (fixed value)
+GATE = [((j * 37 + 11) % 41 - 20) / 20.0 for j in range(DIM)]
 
 
 @register("attention_pool", with_ctes(["nv"], ["""x AS (
-  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[])[1:4], [0.0, 0.0, 0.0, 0.0]) AS v
+  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0)) AS v
   FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id)""",
-    """s AS (SELECT doc_id, v, v[1] * 0.5 + v[2] * -0.25 + v[3] * 1.0 + v[4] * 0.1 AS sc FROM x)""",
+    """s AS (SELECT doc_id, v, list_sum(list_transform(range(64), lambda j: v[j + 1] * (((j * 37 + 11) % 41 - 20) / 20.0))) AS sc FROM x)""",
     """w AS (SELECT doc_id, v, exp(sc - max(sc) OVER (PARTITION BY doc_id)) AS w FROM s)"""]) + """
 SELECT doc_id, CAST(d AS INTEGER) AS dim, round(sum(w * val) / sum(w), 6) AS value FROM (
-  SELECT doc_id, w, unnest(range(4)) AS d, unnest(v) AS val FROM w) q
+  SELECT doc_id, w, unnest(range(64)) AS d, unnest(v) AS val FROM w) q
 GROUP BY doc_id, d""")
 def q_attention_pool(spark, sf_dir):
-    """Softmax-gated pooling of node vectors (first four components,
-    fixed gate) per document."""
-    nv = node_vecs(spark, sf_dir).select("doc_id", "node", F.slice("vec", 1, 4).alias("vec"))
-    p = G.attention_pool(nv, [0.5, -0.25, 1.0, 0.1])
+    """Softmax-gated pooling of node vectors (all components, fixed gate)
+    per document."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
+    p = G.attention_pool(nv, GATE)
     return p.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
         "doc_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
 

@@ -87,7 +87,7 @@ def q_load_corpus_domain(spark, sf_dir):
 SELECT id, split FROM (
   SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY {_H('id')}, id) AS rn,
          count(*) OVER (PARTITION BY split) AS n FROM s_corpus) x
-WHERE rn <= CAST(floor(CAST(n AS DOUBLE) * 10.0 / 100.0) AS BIGINT)""")
+WHERE rn <= CAST(floor(CAST(n AS DOUBLE) * (CAST(10 AS DOUBLE) / 100)) AS BIGINT)""")
 def q_cutoff_percent(spark, sf_dir):
     """10 % of every split ('10_10_10'), first rows in hash order."""
     pct = SM.parse_percent("10_10_10")[0]

@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 
 def get_session(master: str | None = None, app: str = "lexiscope",
                 shuffle_partitions: int | None = None) -> SparkSession:
-    """Local/test session. On a cluster the session comes from the launcher;
-    nothing here overrides settings that are already present."""
+    """Local/test session. On a cluster the session comes from the launcher:
+    one that is already active is returned as it is."""
+    if (active := SparkSession.getActiveSession()) is not None:
+        ensure_checkpoint_dir(active)
+        return active
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or cpus
@@ -36,13 +39,15 @@ def get_session(master: str | None = None, app: str = "lexiscope",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a scratch folder is
-    created and set; on a cluster the shared folder from the configuration
-    is used unchanged.
+    Only where a local session names none (tests) a scratch folder is created
+    and set; on a cluster the shared folder from the configuration is used
+    unchanged, and it is an error to have none.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="lexiscope-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)

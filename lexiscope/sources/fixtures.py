@@ -92,20 +92,18 @@ def pair_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text1", "text2", F.lit(0).alias("label_txt1"), F.lit(1).alias("label_txt2"))
 
 
-VEC_ROWS = 500  # token -> vector row rule of FIXTURES.md (fixed value)
-
-
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-vector input ``(doc_id, pos, token, vec_id)`` for every token of
     every document: position 0 is the whole-document vector, token k of the
     document sits at position k+1; ``vec_id`` points into ``vectors``."""
     from lexiscope.sources.tables import spread
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    toks = docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("i", "token"))
+    n = F.broadcast(table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_n")))  # one row
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").crossJoin(n)
+    toks = docs.select("doc_id", "_n", F.posexplode(T.tokenize(F.col("text"))).alias("i", "token"))
     toks = toks.select("doc_id", (F.col("i") + 1).cast("int").alias("pos"), "token",
-                       ((F.length("token") * 31 + F.ascii("token")) % VEC_ROWS).cast("long").alias("vec_id"))
+                       ((F.length("token") * 31 + F.ascii("token")) % F.col("_n")).cast("long").alias("vec_id"))
     root = docs.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("token"),
-                       (F.col("doc_id") % VEC_ROWS).cast("long").alias("vec_id"))
+                       (F.col("doc_id") % F.col("_n")).cast("long").alias("vec_id"))
     return toks.unionByName(root)
 
 

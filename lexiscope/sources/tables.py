@@ -14,21 +14,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan of a driver table. The DataFrame object (not data)
-    is memoised per session and path, so file listing and footer reads
-    happen once per session."""
+    """Lazy parquet scan of a driver table."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    k = (id(spark._jsparkSession), path)
-    df = _READS.get(k)
-    if df is None:
-        df = _READS[k] = spark.read.parquet(path)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
