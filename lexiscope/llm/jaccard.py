@@ -190,17 +190,20 @@ def spread(data: DataFrame, ask: DataFrame, key: str, block: int) -> DataFrame:
             .drop("dn", "qn"))
 
 
-def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame | None:
     """Members of frequent groups that are not in their pivot's component,
     against all members in other components: only pairs that sizes and bitmaps
     allow leave the blocks. With ``nearest``, of those that join a member with
-    one component only the pair whose bitmaps differ least."""
+    one component only the pair whose bitmaps differ least. None if there are
+    no such members."""
     of = labels.select(F.col("node").alias("doc_id"), "component")
     own = F.coalesce("component", "doc_id").alias("c")
     of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
     members = materialized(groups.join(of, "doc_id", "left").select("sig", "doc_id", "n", "pivot", own)
                            .join(of_pivot, "pivot", "left")
                            .select("sig", "doc_id", "n", "c", (F.col("c") != F.coalesce("pc", "pivot")).alias("stray")))
+    if members.where("stray").isEmpty():
+        return None
     mixed = members.where("stray").select("sig").distinct()
     maps = nodes.select("doc_id", F.col("n"), "bitmap")
     data = members.join(mixed, "sig", "left_semi").join(maps, ["doc_id", "n"])
@@ -374,17 +377,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     links = links.unionByName(verified(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts))
     labels = materialized(components(links))
-    links = links.unionByName(verified(apart(candidates, labels), texts))
-    labels = materialized(components(links))
+    more = verified(apart(candidates, labels), texts)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = materialized(components(links))
 
     # members of frequent groups outside their pivot's component meet the
     # others: first the nearest of each component, then whatever is still apart
     seen = candidates
     for nearest in (True, False):
         small_batches(spark, LIGHT_ROWS)
-        late = materialized(stray_pairs(groups, labels, nodes, nearest).join(seen, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(late, texts))
-        labels = materialized(components(links))
+        pairs = stray_pairs(groups, labels, nodes, nearest)
+        if pairs is None:
+            break
+        late = materialized(pairs.join(seen, ["a", "b"], "left_anti"))
+        more = verified(late, texts)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = materialized(components(links))
         seen = seen.unionByName(late)
     return (member.join(labels, member.node == labels.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
