@@ -57,8 +57,8 @@ _U = np.uint64
 
 def sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> tuple[np.ndarray, int]:
     """(flags of the counters whose shingles are frequent, the bound). Tasks
-    count their documents' shingles; equal blocks of counters are then added
-    up as a stream. Only the flags, one bit a counter, reach the driver."""
+    count their documents' shingles; equal blocks of counters (a bit for each
+    counter met, and the counts of those) are then added up as a stream. Only the flags, one bit a counter, reach the driver."""
     size, block = 1 << bits, min(SKETCH_BLOCK, 1 << bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,24 +71,24 @@ def sketch(docs: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> tupl
             counts[at] = np.minimum(counts[at] + n, 65535).astype(np.uint16)
         if counts is not None:
             for k in range(0, size, block):
-                at = np.flatnonzero(counts[k:k + block])
-                if len(at):
-                    yield pd.DataFrame({"k": [k], "at": [at.astype(np.uint32).tobytes()],
-                                        "counts": [counts[k + at].tobytes()]})
+                here = counts[k:k + block]
+                if here.any():
+                    yield pd.DataFrame({"k": [k], "met": [np.packbits(here > 0).tobytes()],
+                                        "counts": [here[here > 0].tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, at, c in zip(b.k, b["at"], b.counts):
+            for k, met, c in zip(b.k, b.met, b.counts):
                 total = sums.setdefault(k, np.zeros(block, np.uint32))
-                at = np.frombuffer(at, np.uint32)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(met, np.uint8)))
                 total[at] = np.minimum(total[at] + np.frombuffer(c, np.uint16), 65535)
         yield pd.DataFrame({"k": list(sums), "counts": [s.astype(np.uint16).tobytes() for s in sums.values()]},
                            columns=["k", "counts"])
 
     small_batches(docs.sparkSession)
     parts = size // block
-    total = materialized(docs.select(F.col(text).alias("t")).mapInPandas(count, "k int, at binary, counts binary")
+    total = materialized(docs.select(F.col(text).alias("t")).mapInPandas(count, "k int, met binary, counts binary")
                          .repartition(parts, "k").mapInPandas(add, "k int, counts binary"))
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,8 +194,8 @@ def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest:
     """Members of frequent groups that are not in their pivot's component,
     against all members in other components: only pairs that sizes and bitmaps
     allow leave the blocks. With ``nearest``, of those that join a member with
-    one component only the pair whose bitmaps differ least. None if there are
-    no such members."""
+    one component only the pair whose bitmaps differ least. A written table of
+    distinct pairs; None if there are no such members."""
     of = labels.select(F.col("node").alias("doc_id"), "component")
     own = F.coalesce("component", "doc_id").alias("c")
     of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
@@ -203,11 +203,13 @@ def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest:
                            .join(of_pivot, "pivot", "left")
                            .select("sig", "doc_id", "n", "c", (F.col("c") != F.coalesce("pc", "pivot")).alias("stray")))
     if members.where("stray").isEmpty():
+        discard(members)
         return None
     mixed = members.where("stray").select("sig").distinct()
     maps = nodes.select("doc_id", F.col("n"), "bitmap")
     data = members.join(mixed, "sig", "left_semi").join(maps, ["doc_id", "n"])
     data = materialized(data.select("sig", "doc_id", "n", "c", "stray", "bitmap"))
+    discard(members)
     parts = max(1, data.count() // BLOCK)
     rows = spread(data.drop("stray"), data.where("stray").drop("stray"), "sig", BLOCK)
 
@@ -233,8 +235,10 @@ def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest:
                     out.append(np.column_stack([np.minimum(doc[ok], doc[q]), np.maximum(doc[ok], doc[q])]))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    return (rows.withColumn("part", F.pmod("sig", F.lit(parts))).groupBy("part", "dp", "qp")
-            .applyInPandas(run, "a long, b long").distinct())
+    pairs = materialized(rows.withColumn("part", F.pmod("sig", F.lit(parts))).groupBy("part", "dp", "qp")
+                         .applyInPandas(run, "a long, b long").distinct())
+    discard(data)
+    return pairs
 
 
 def length_ok(a, b):
@@ -369,6 +373,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     star = (groups.where(length_ok(F.col("n"), F.col("pivot_n")) & (F.col("doc_id") != F.col("pivot")))
             .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")))
     candidates = materialized(bounded(rare_pairs(nodes).unionByName(star).distinct(), nodes))
+    maps = materialized(nodes.select("doc_id", "n", "bitmap"))
+    discard(nodes)
 
     # ids that have several sets are one node as well
     several = member.where("node is not null").groupBy("doc_id").agg(
@@ -387,15 +393,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     seen = candidates
     for nearest in (True, False):
         small_batches(spark, LIGHT_ROWS)
-        pairs = stray_pairs(groups, labels, nodes, nearest)
+        pairs = stray_pairs(groups, labels, maps, nearest)
         if pairs is None:
             break
         late = materialized(pairs.join(seen, ["a", "b"], "left_anti"))
+        discard(pairs)
         more = verified(late, texts)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = materialized(components(links))
         seen = seen.unionByName(late)
+    for done in (groups, maps, seen):
+        discard(done)
     return (member.join(labels, member.node == labels.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", member.node, "doc_id").alias("component_id")))
