@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +37,17 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 # blanks by Python's str.split() that the tokenizer's \s may see otherwise
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+# marks that the tokenizer parts from letters before them
+_MARKS = ".,;:!?%&$#*"
 
 
 class Tokens:
     """Ids of texts as little-endian bytes. The tokenizer splits at white space
-    first, so every stretch between blanks is looked up by itself; stretches
-    seen before come from a bounded cache."""
+    first, so every stretch between blanks is looked up by itself. Stretches
+    seen before come from two bounded generations: when the newer one is full
+    it becomes the older one, and what is still in use moves on. The tokenizer
+    lower-cases and parts letters from what follows them, so a stretch of
+    letters with marks behind it is the two looked up one after the other."""
 
     def __init__(self, path: str):
         import os
@@ -50,12 +55,64 @@ class Tokens:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)      # tokens that end a word
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one text. Each has at least one
+        token that ends a word; where a text has as many of these as words,
+        they part it, and otherwise its words are encoded singly."""
+        out = []
+        chunks = [words[k:k + 256] for k in range(0, len(words), 256)]
+        texts = [" ".join(c) for c in chunks]
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(c) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [raw[x:y] for x, y in zip(at, at[1:])]
+            else:
+                out += self._encode(c)
+        return out
+
+    def _unseen(self, stretches: Iterable[str]) -> list[str]:
+        """Those in neither generation; those in the older one move on."""
+        unseen = []
+        for w in stretches:
+            if w not in self.cache:
+                ids = self.older.get(w)
+                if ids is None:
+                    unseen.append(w)
+                else:
+                    self.cache[w] = ids
+        return unseen
+
+    def _learn(self, stretches: set[str]) -> None:
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {"": b""}
+        halves = {}
+        for w in self._unseen(stretches):
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha():
+                halves[w] = letters.encode().lower().decode(), w[len(letters):]
+            else:
+                halves[w] = w, ""
+        new = self._unseen({x for pair in halves.values() for x in pair})
+        for words, encode in (([w for w in new if w.isalpha()], self._encode_letters),
+                              ([w for w in new if not w.isalpha()], self._encode)):
+            for k in range(0, len(words), 4096):
+                some = words[k:k + 4096]
+                self.cache.update(zip(some, encode(some)))
+        for w, (letters, marks) in halves.items():
+            self.cache[w] = self.cache[letters] + self.cache[marks]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = []
         for t in texts:
@@ -65,13 +122,7 @@ class Tokens:
         need: set[str] = set()
         for p in parts:
             need.update(p or ())
-        missing = [w for w in need if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = list(need)
-        for k in range(0, len(missing), 4096):
-            some = missing[k:k + 4096]
-            self.cache.update(zip(some, self._encode(some)))
+        self._learn(need)
         get = self.cache.__getitem__
         return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
 
