@@ -78,6 +78,19 @@ def test_packing_ids_equal_the_tokenizer(spark):
         e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_ids_survive_full_generations(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "CACHE", 8)
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["Word, word. WORD!!! İstanbul, ΑΣ. straße&&& ... # '' don't. it's, (a) x1. e\u0301t\u00e9.",
+             "new words come here, more than the cache may hold; İ ﬁn Ⅷ ª. ǅ, 한국어. \u1112\u1161\u11ab,", "word. x1."]
+    tokens = packing.Tokens(queries.tokenizer_path())
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):
+        for text, ids in zip(texts, want):
+            assert np.frombuffer(tokens.encode([text])[0], "<u4").tolist() == ids
+
+
 def test_minimum_slack_fill_is_the_best_subset():
     rng = np.random.default_rng(1)
     for _ in range(50):
