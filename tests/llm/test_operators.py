@@ -307,3 +307,23 @@ def test_lm_scores_equal_a_plain_computation(spark):
     assert got[9].logprob == pytest.approx(total, rel=1e-4) and got[9].n_words == 30
     assert got[1].n_words == 0 and got[1].logprob == 0 and got[1].mean_logprob is None
     assert lm.score(docs.limit(0), lm.fit(docs.limit(0))).count() == 0
+
+
+def test_lm_words_have_their_own_probability(spark):
+    common = " ".join(f"w{k:04d}" for k in range(lm.WORDS))
+    rare = [f"r{k:05d}" for k in range(3000)]
+    same = [w for w in rare if zlib.crc32(w.encode()) % lm.HASHED == 7]
+    x, y = same[:2]
+    new = next(w for w in (f"n{k}" for k in range(9999)) if zlib.crc32(w.encode()) % lm.HASHED == 7)
+    rows = [(1, " ".join([common] * 9)), (2, " ".join(rare)), (3, f"{x} " * 6)]
+    model = lm.fit(docs_of(spark, rows))
+    seen = docs_of(spark, [(1, x), (2, y), (3, new), (3, new), (4, f"{x} {y}"), (4, f"{x} {y}"), (5, "w0001")])
+    got = {r.doc_id: r for r in lm.score(seen, model).collect()}
+    n = len(same) + 6                                       # occurrences of the class, of which 7 are x
+    assert got[1].logprob - got[2].logprob == pytest.approx(np.log(7), abs=1e-6)
+    assert got[2].logprob - got[3].logprob == pytest.approx(0, abs=1e-6)
+    _, plain = model.__class__(model.symbols, model.parameters, None, []).score([x, f"{x} {y}", "w0001"])
+    assert got[1].logprob == pytest.approx(plain[0] + np.log(7 / (n + 1)), abs=1e-6)
+    assert got[4].logprob == pytest.approx(plain[1] + np.log(7 / (n + 1)) - np.log(n + 1), abs=1e-6)
+    assert got[5].logprob == pytest.approx(plain[2], abs=1e-9) and got[5].mean_logprob == got[5].logprob
+    assert lm.vocabulary_size(10) == lm.WORDS and 1200 < lm.vocabulary_size(404_216) < lm.vocabulary_size(10**8)
