@@ -327,3 +327,11 @@ def test_lm_words_have_their_own_probability(spark):
     assert got[4].logprob == pytest.approx(plain[1] + np.log(7 / (n + 1)) - np.log(n + 1), abs=1e-6)
     assert got[5].logprob == pytest.approx(plain[2], abs=1e-9) and got[5].mean_logprob == got[5].logprob
     assert lm.vocabulary_size(10) == lm.WORDS and 1200 < lm.vocabulary_size(404_216) < lm.vocabulary_size(10**8)
+
+
+def test_lm_learns_from_every_position():
+    for rounds in (1, 2, 3):
+        t = np.arange(1001) % 17
+        parts = [lm.turn(t, r, 1 / rounds) for r in range(rounds)]
+        assert sorted(np.concatenate(parts)) == list(range(1001))
+    assert len(lm.turn(t, 0, 0.5)) == 500 and not len(lm.turn(t[:0], 0, 1))
