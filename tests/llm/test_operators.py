@@ -53,6 +53,24 @@ def test_neighbours_recall_and_scores(spark, sf, width):
     assert total == 20 * (ids % 20 == 0).sum() and hit / total >= 0.9
 
 
+def test_neighbours_of_mixed_lengths_over_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    few = np.where(np.arange(2000) % 400 == 1, 3.0, 1.0)     # in all batches but the rest unit
+    small = ann.small_batches
+    monkeypatch.setattr(ann, "small_batches", lambda s, rows=512: small(s, min(rows, 500)))
+    for size in (1 + rng.uniform(-1e-3, 1e-3, 2000), rng.uniform(0.5, 2, 2000), few):
+        v = unit * size[:, None]
+        df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+        hit = 0
+        for q, part in ann.search(df.coalesce(1), F.col("vec_id") % 20 == 0, k=20).toPandas().groupby("query_id"):
+            s = v @ v[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20]) & set(part.vec_id))
+        assert hit / 2000 >= 0.9
+
+
 # ---- packing
 
 def check_packed(got, capacity):
