@@ -2,15 +2,23 @@
 
 A text becomes a template: numbers, names and units are replaced with typed
 placeholders (<num>, <name>, <unit>), other words are in lower case without
-punctuation. Windows of WINDOW template tokens are hashed, and a document's
+punctuation. Adjacent names, or numbers, are one ('Mary Ann', '1 000').
+Windows of WINDOW template tokens are hashed, and a document's
 windows are joined with the windows of the benchmark items. A joined run of
 windows counts only if its slots are consistent: along the run, each filler of
 the item always faces the same filler of the document. So an item is found
 when its wording is copied, and also when its numbers, names or units were
 exchanged for others throughout.
 
-A document is contaminated by an item if consistent windows cover at least
-COVERAGE of the item's windows. An item with fewer tokens than WINDOW is one
+A run may go on at a neighbouring shift (at most DRIFT tokens away, in the order
+of item and document): a word was inserted, dropped or exchanged there. The
+windows that one such word breaks count as matched if the run goes on right
+after them.
+
+A document is contaminated by an item if a run covers at least COVERAGE of the
+item's windows, or if it holds RUN tokens of the item in a row with the same
+fillers, whatever their share of the item (matched_windows is then what the
+best run covers). An item with fewer tokens than WINDOW is one
 window, its whole template.
 
 The benchmark's window hashes are compressed to a table of 2**FILTER_BITS bits
@@ -38,6 +46,8 @@ from lexiscope.llm.features import LETTERS
 
 WINDOW = 8
 COVERAGE = 0.5
+RUN = 13
+DRIFT = 8
 FILTER_BITS = 24
 
 # fixed values: measuring units that a template leaves open
@@ -48,6 +58,7 @@ percent degree degrees volt volts watt watts joule joules newton newtons""".spli
 
 _U = np.uint64
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?:\n\r", np.uint8))
+_GAP = np.isin(np.arange(256), np.frombuffer(b" \t-\xc2\xa0", np.uint8))   # within a name or number
 _POINT = np.isin(np.arange(256), np.frombuffer(b".,", np.uint8))
 _NUM, _NAME, _UNIT = (_U(x) for x in (0x1000000000000001, 0x2000000000000003, 0x3000000000000005))
 _FACTORS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | _U(1)
@@ -134,7 +145,15 @@ def template(text: str | None) -> Template:
         place = np.minimum(np.searchsorted(_UNIT_HASHES, ids), len(_UNIT_HASHES) - 1)
         unit[1:] = (_UNIT_HASHES[place] == ids)[1:] & number[:-1]
     ids = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, ids)))
-    return Template(ids, number | unit | name, starts, ends, low)
+    slot = number | unit | name
+    if (name | number).any():
+        other = np.concatenate([[0], np.cumsum(~_GAP[upper])])
+        joins = np.zeros(len(starts), bool)
+        joins[1:] = ((name[1:] & name[:-1] | number[1:] & number[:-1])
+                     & (other[starts[1:]] == other[ends[:-1]]))
+        ends = ends[np.concatenate([~joins[1:], [True]])]
+        starts, ids, slot = starts[~joins], ids[~joins], slot[~joins]
+    return Template(ids, slot, starts, ends, low)
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -202,23 +221,51 @@ def consistent(item_slots: str, doc_slots: str) -> dict[str, str] | None:
     return found
 
 
+def chain(hits: list, first: int, drift: int) -> tuple[int, dict[str, str]]:
+    """Windows that a run covers which begins at shift ``first`` and moves at most
+    ``drift`` tokens at a time, and its fillers. ``hits`` come by item_at."""
+    fillers: dict[str, str] = {}
+    covered, last, at, shift = 0, None, -1, first
+    for where, group in hits:
+        for h in sorted(group, key=lambda h: abs(h[0] - shift)):
+            if abs(h[0] - shift) > (0 if last is None else drift):
+                break
+            got = consistent(h[1], h[2]) if where + h[0] > at else None
+            if got is None or any(fillers.get(x, y) != y for x, y in got.items()):
+                continue
+            fillers.update(got)
+            broken = last is not None and drift and 1 < where - last <= WINDOW + 1
+            covered += where - last if broken else 1
+            last, at, shift = where, where + h[0], h[0]
+            break
+    return covered, fillers
+
+
+def verbatim(hits: list) -> int:
+    """Most windows in a row at one shift whose fillers are the same."""
+    best, runs = 0, {}
+    for where, group in hits:
+        runs = {h[0]: runs.get(h[0], (0, 0)) if runs.get(h[0], (0, where))[1] == where else (0, where)
+                for h in group if h[1] == h[2]}
+        runs = {k: (n + 1, where + 1) for k, (n, _) in runs.items()}
+        best = max([best, *(n for n, _ in runs.values())])
+    return best
+
+
 def best_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For every alignment (document, item, shift): the windows of the item
-    whose slots agree with those of the windows accepted before them."""
+    """For every group of neighbouring shifts of a document and an item: the best
+    run along one shift or over several, and the longest verbatim one."""
     for b in batches:
         out = []
-        for doc, item, shift, hits in zip(b.doc_id, b.item_id, b["shift"], b.hits):
-            fillers: dict[str, str] = {}
-            taken, changed = 0, 0
+        for doc, item, hits in zip(b.doc_id, b.item_id, b.hits):
+            by: dict[int, list] = {}
             for h in hits:
-                got = consistent(h["item_slots"], h["doc_slots"])
-                if got is None or any(fillers.get(x, y) != y for x, y in got.items()):
-                    continue
-                fillers.update(got)
-                taken += 1
-            changed = sum(x != y for x, y in fillers.items())
-            out.append((doc, item, shift, taken, len(fillers), changed))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "shift", "matched", "slots", "changed"])
+                by.setdefault(h["item_at"], []).append((h["shift"], h["item_slots"], h["doc_slots"]))
+            rows = sorted(by.items())
+            runs = [chain(rows, s, d) for s in {h["shift"] for h in hits} for d in (0, DRIFT)]
+            taken, slots, changed = max((n, len(f), sum(x != y for x, y in f.items())) for n, f in runs)
+            out.append((doc, item, taken, verbatim(rows), slots, changed))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "verbatim", "slots", "changed"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -231,15 +278,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     small_batches(docs.sparkSession, LIGHT_ROWS)
     joined = hits.join(items.select(F.col("id").alias("item_id"), "windows", F.col("at").alias("item_at"),
                                     "hash", F.col("slots").alias("item_slots")), "hash")
-    # an alignment has at most as many windows as its item
-    runs = (joined.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-            .agg(F.max("windows").alias("item_windows"), F.count("*").alias("c"),
-                 F.sort_array(F.collect_list(F.struct("item_at", "item_slots", "doc_slots"))).alias("hits"))
-            .where(F.col("c") >= F.lit(coverage) * F.col("item_windows")))
+    # groups of shifts twice as wide as the item, twice, the second time moved by
+    # half: a run whose shifts differ by less than the item's length is whole in one
+    shift, half = F.col("at") - F.col("item_at"), F.greatest(F.col("windows"), F.lit(DRIFT))
+    groups = F.array(F.floor(shift / (2 * half)) * 2, F.floor((shift + half) / (2 * half)) * 2 + 1)
+    long_run = RUN - WINDOW + 1
+    # a hit covers at most itself and the WINDOW windows that a word broke before it
+    runs = (joined.withColumn("shift", shift).withColumn("near", F.explode(groups))
+            .groupBy("doc_id", "item_id", "near")
+            .agg(F.max("windows").alias("item_windows"),
+                 F.sort_array(F.collect_list(F.struct("item_at", "shift", "item_slots", "doc_slots"))).alias("hits"))
+            .where((F.size("hits") * (WINDOW + 1) >= F.lit(coverage) * F.col("item_windows"))
+                   | (F.size("hits") >= long_run)))
     sizes = items.select(F.col("id").alias("item_id"), F.col("windows").alias("item_windows")).distinct()
-    best = (runs.select("doc_id", "item_id", "shift", "hits")
-            .mapInPandas(best_run, "doc_id long, item_id long, shift int, matched int, slots int, changed int")
-            .join(sizes, "item_id").where(F.col("matched") >= F.lit(coverage) * F.col("item_windows"))
+    best = (runs.select("doc_id", "item_id", "hits")
+            .mapInPandas(best_run, "doc_id long, item_id long, matched int, verbatim int, slots int, changed int")
+            .join(sizes, "item_id")
+            .where((F.col("matched") >= F.lit(coverage) * F.col("item_windows")) | (F.col("verbatim") >= long_run))
             .groupBy("doc_id", "item_id").agg(
                 F.max(F.struct("matched", "item_windows", "slots", "changed")).alias("m")))
     return best.select("doc_id", "item_id", F.col("m.matched").cast("long").alias("matched_windows"),

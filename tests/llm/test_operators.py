@@ -283,6 +283,25 @@ def test_decontamination(spark):
     assert decontam.consistent(whole(x), whole(z)) is None
 
 
+def test_decontamination_of_moved_and_verbatim_passages(spark):
+    w = [f"tok{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    item = " ".join(w[:27])
+    named = " ".join([*w[:9], "Anna", *w[9:18], "1000", *w[18:25]])
+    long = " ".join(w)
+    rows = [(1, named.replace("Anna", "Mary Ann").replace("1000", "1 000")),       # fillers of other token counts
+            (2, " ".join([*w[:9], "new", *w[9:18], "more", *w[18:27]])),            # inserted
+            (3, " ".join([*w[:9], *w[10:18], *w[19:27]])),                          # dropped
+            (4, " ".join(["x", *w[20:33], "y"])), (5, " ".join(["x", *w[20:32], "y"])),   # 13 and 12 verbatim
+            (6, " ".join([*w[30:38], "other", "words", *w[2:11]]))]                 # two lone passages out of order
+    bench = spark.createDataFrame([(7, item), (8, named), (9, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.matches(docs_of(spark, rows), bench).collect()}
+    assert {(1, 8), (2, 7), (3, 7), (4, 9)} <= set(got) and got[1, 8].matched_windows == got[1, 8].item_windows
+    assert got[1, 8].changed_slots == 2 and got[2, 7].matched_windows == 20
+    assert not {d for d, _ in got} & {5, 6}
+    x, y = decontam.template("then Mary Ann took 1 000 of them"), decontam.template("then Anna took 1,000 of them")
+    assert (x.ids == y.ids).all() and x.fillers(0, 4).split("\t") == ["", "mary ann", "", "1 000"]
+
+
 # ---- chat
 
 def test_chat_round_trip_and_examples(spark):
