@@ -192,6 +192,21 @@ def q_node_vectors(spark, sf_dir):
                     F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("vsum"))
 
 
+def _rounded(vec: str, digits: int):
+    return F.transform(vec, lambda x: F.round(x, digits)).alias("vec")
+
+
+_NODE_VEC = "coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0))"
+
+
+@register("node_vectors_full", with_ctes(["nv"]) + f"""
+SELECT nv.doc_id, nv.node, e.embedding IS NOT NULL AS matched, list_transform({_NODE_VEC}, lambda x: round(x, 6)) AS vec
+FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id""")
+def q_node_vectors_full(spark, sf_dir):
+    """Node vectors, all components."""
+    return node_vecs(spark, sf_dir).select("doc_id", "node", "matched", _rounded("vec", 6))
+
+
 @register("node_match_rate", with_ctes(["nv"]) + """
 SELECT CAST(sum(CASE WHEN e.embedding IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched,
        CAST(sum(CASE WHEN e.embedding IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched
@@ -220,6 +235,17 @@ def q_pos_feature_concat(spark, sf_dir):
                     F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("vsum"))
 
 
+@register("pos_feature_concat_full", with_ctes(["nv"], [_seeded_sql(18, 32, 1, "pt")]) + f"""
+SELECT nv.doc_id, nv.node, list_transform(list_concat({_NODE_VEC}, pt.emb), lambda x: round(x, 6)) AS vec
+FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id
+JOIN pt ON pt.k = CASE WHEN strpos(nv.node, '_') = 0 THEN {S.POS_TAGS.index('X')}
+  ELSE coalesce(list_position({[t for t in S.POS_TAGS]}, split_part(nv.node, '_', -1)) - 1, {S.POS_TAGS.index('X')}) END""")
+def q_pos_feature_concat_full(spark, sf_dir):
+    """Node vector ++ POS embedding, all components."""
+    pt = G.seeded_table(spark, len(S.POS_TAGS), 32, 1)
+    return G.concat_pos(node_vecs(spark, sf_dir), pt).select("doc_id", "node", _rounded("vec", 6))
+
+
 @register("dep_edge_vector", with_ctes(["fedges"], [_seeded_sql(24, 32, 2, "dt")]) + f"""
 SELECT f.doc_id, f.src, f.dst, dt.k, round(list_sum(dt.emb), 6) AS esum FROM fedges f
 JOIN dt ON dt.k = coalesce(list_position({[t for t in S.DEP_TAGS]}, f.dep) - 1, {S.DEP_TAGS.index('dep')})""")
@@ -230,6 +256,15 @@ def q_dep_edge_vector(spark, sf_dir):
     return e.select("doc_id", "src", "dst", "k", F.round(F.aggregate("evec", F.lit(0.0), lambda a, x: a + x), 6).alias("esum"))
 
 
+@register("dep_edge_vector_full", with_ctes(["fedges"], [_seeded_sql(24, 32, 2, "dt")]) + f"""
+SELECT f.doc_id, f.src, f.dst, dt.k, list_transform(dt.emb, lambda x: round(x, 6)) AS vec FROM fedges f
+JOIN dt ON dt.k = coalesce(list_position({[t for t in S.DEP_TAGS]}, f.dep) - 1, {S.DEP_TAGS.index('dep')})""")
+def q_dep_edge_vector_full(spark, sf_dir):
+    """Dependency embedding per edge, all components."""
+    dt = G.seeded_table(spark, len(S.DEP_TAGS), 32, 2)
+    return G.edge_vectors(graphs(spark, sf_dir)[1], dt).select("doc_id", "src", "dst", "k", _rounded("evec", 6))
+
+
 @register("graph_pool", with_ctes(["nv"]) + """
 SELECT doc_id, CAST(d AS INTEGER) AS dim, round(avg(x), 6) AS value FROM (
   SELECT nv.doc_id, unnest(range(64)) AS d,
@@ -273,6 +308,32 @@ def q_gcn_propagate(spark, sf_dir):
         F.round(F.sum("value"), 5).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squares"))
 
 
+@register("gcn_propagate_full", with_ctes(["nv", "fedges"], ["""x AS (
+  SELECT nv.doc_id, nv.node, coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range(64), lambda j: 0.0)) AS v
+  FROM nv LEFT JOIN embeddings e ON nv.vec_id = e.vec_id)""",
+    """se AS (SELECT DISTINCT doc_id, src, dst FROM (
+      SELECT doc_id, src, dst FROM fedges UNION ALL SELECT doc_id, dst, src FROM fedges) u WHERE src <> dst)""",
+    """deg AS (SELECT x.doc_id, x.node, 1.0 + coalesce(c.k, 0) AS deg FROM x
+      LEFT JOIN (SELECT doc_id, dst, count(*) AS k FROM se GROUP BY doc_id, dst) c ON x.doc_id = c.doc_id AND x.node = c.dst)""",
+    """msg AS (
+  SELECT se.doc_id, se.dst AS node, x.v, 1.0 / sqrt(ds.deg * dd.deg) AS w FROM se
+  JOIN x ON x.doc_id = se.doc_id AND x.node = se.src
+  JOIN deg ds ON ds.doc_id = se.doc_id AND ds.node = se.src
+  JOIN deg dd ON dd.doc_id = se.doc_id AND dd.node = se.dst
+  UNION ALL SELECT x.doc_id, x.node, x.v, 1.0 / deg.deg FROM x JOIN deg ON x.doc_id = deg.doc_id AND x.node = deg.node)"""])
+    + """
+SELECT doc_id, node, list(value ORDER BY d) AS vec FROM (
+  SELECT doc_id, node, d, round(sum(w * val), 5) AS value FROM (
+    SELECT doc_id, node, w, unnest(range(64)) AS d, unnest(v) AS val FROM msg) s
+  GROUP BY doc_id, node, d) x
+GROUP BY doc_id, node""")
+def q_gcn_propagate_full(spark, sf_dir):
+    """One round of normalised propagation; the new vector of every node."""
+    nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
+    x = G.propagate(nv, graphs(spark, sf_dir)[1], hops=1, directed=False)
+    return x.select("doc_id", "node", _rounded("vec", 5))
+
+
 # attention gate over all components, by a rule (fixed value)
 GATE = [((j * 37 + 11) % 41 - 20) / 20.0 for j in range(DIM)]
 
@@ -301,7 +362,7 @@ def q_project_vectors(spark, sf_dir):
     nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
     p = G.project(nv, G.projection_matrix(DIM, 256))
     return p.select("doc_id", "node", F.size("vec").alias("width"),
-                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("vsum"))
+                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("vsum"), "vec")
 
 
 def _pool_sql(fn: str) -> str:
