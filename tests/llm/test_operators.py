@@ -71,6 +71,10 @@ def test_neighbours_of_mixed_lengths_over_batches(spark, monkeypatch):
         assert hit / 2000 >= 0.9
 
 
+def test_default_tables_are_those_that_the_recall_test_uses():
+    assert [ann.tables_of(w, None) for w in (0, 1, 2)] == [1, 12, 60] and ann.tables_of(2, 7) == 7
+
+
 # ---- packing
 
 def check_packed(got, capacity):
