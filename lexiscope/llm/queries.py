@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import ann, chat, decontam, jaccard, langid, lm, packing, quality, sharding, toxicity
+from lexiscope.llm import ann, chat, decontam, jaccard, langid, lm, merkle, packing, quality, sharding, toxicity
 from lexiscope.llm.common import crc_mod, read
 
 TOXIC_FROM, QUALITY_KEPT = 0.7, 0.3
@@ -96,7 +97,21 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.digest([*columns, F.col("text")])
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    shown = F.when(crc_mod("doc_id", 3) == 0, merkle.digest([*columns, lowered])).otherwise(leaf)
+    tree = merkle.build(docs, F.col("doc_id"), F.col("lang"), leaf, shown)
+    return (merkle.climb(spark, tree)
+            .select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                    F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"),
+                    (F.col("folded") == F.col("root")).alias("verified")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cross_polytope, op2_minimum_bin_slack, op3_word_first_backoff, op4_kd_tree_sharding,
-                            op5_ftrl_toxicity, op6_token_combination_join, op7_template_decontamination, op8_prefix_target_chat, op9_masked_pseudo_likelihood, op10_nbsvm_quality)}
+                            op5_ftrl_toxicity, op6_token_combination_join, op7_template_decontamination, op8_prefix_target_chat, op9_masked_pseudo_likelihood, op10_nbsvm_quality,
+                            op11_merkle_manifest)}
 ORACLE: dict[str, str] = {}
