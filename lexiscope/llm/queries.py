@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import ann, chat, decontam, jaccard, langid, lm, merkle, packing, quality, sharding, toxicity
+from lexiscope.llm import ann, chat, decontam, jaccard, langid, lm, merkle, oracle, packing, quality, sharding, topk, toxicity
 from lexiscope.llm.common import crc_mod, read
 
 TOXIC_FROM, QUALITY_KEPT = 0.7, 0.3
@@ -110,8 +110,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("folded") == F.col("root")).alias("verified")))
 
 
+def op12_exhaustive_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cross_polytope, op2_minimum_bin_slack, op3_word_first_backoff, op4_kd_tree_sharding,
                             op5_ftrl_toxicity, op6_token_combination_join, op7_template_decontamination, op8_prefix_target_chat, op9_masked_pseudo_likelihood, op10_nbsvm_quality,
-                            op11_merkle_manifest)}
-ORACLE: dict[str, str] = {}
+                            op11_merkle_manifest, op12_exhaustive_accumulation)}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": oracle.MERKLE, "op12_exhaustive_accumulation": oracle.TOPK}
