@@ -8,16 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import ann, chat, decontam, jaccard, langid, lm, merkle, oracle, packing, quality, sharding, topk, toxicity
+from lexiscope.llm import align, ann, chat, decontam, jaccard, langid, lm, merkle, oracle, packing, quality, sharding, topk, toxicity
 from lexiscope.llm.common import crc_mod, read
 
 TOXIC_FROM, QUALITY_KEPT = 0.7, 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def learnt_from(labels: DataFrame, mod: int, held: int) -> DataFrame:
@@ -115,8 +115,14 @@ def op12_exhaustive_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                       tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cross_polytope, op2_minimum_bin_slack, op3_word_first_backoff, op4_kd_tree_sharding,
                             op5_ftrl_toxicity, op6_token_combination_join, op7_template_decontamination, op8_prefix_target_chat, op9_masked_pseudo_likelihood, op10_nbsvm_quality,
-                            op11_merkle_manifest, op12_exhaustive_accumulation)}
+                            op11_merkle_manifest, op12_exhaustive_accumulation,
+                            op13_tokenizer_alignment)}
 ORACLE: dict[str, str] = {"op11_merkle_manifest": oracle.MERKLE, "op12_exhaustive_accumulation": oracle.TOPK}
