@@ -27,6 +27,8 @@ are ignored and may have any name.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,10 +41,16 @@ from pyspark.sql import functions as F
 from lexiscope.llm.common import materialized
 
 BLOCK_LINKS = 1 << 22       # links after which a block of documents is closed
-CACHED, CACHED_CHARS = 1 << 17, 48
-# a blank after a visible character: no token of A or B reaches over it
-CUT = re.compile(r"(?<=\S)(?= )")
-IRREGULAR = re.compile(r"\s |^\s|\s$")
+CHUNK_CHARS = 1 << 17
+CACHED, CACHED_CHARS = 1 << 16, 48
+BIG = 4096                  # links of a group that are listed one by one
+# a blank after a visible character: no token of A or B reaches over it. White
+# space at the end stays with the word before it, since B gives no token to an
+# empty text after its blank
+CUT = re.compile(r"(?<=\S)(?= )(?!\s+\Z)")
+IRREGULAR = re.compile(r"\s |\s\Z")
+# fixed value: how byte-level vocabularies of this kind cut a text into words
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 B_IDS = 1 << 32             # a pair of ids as one number: a * B_IDS + b
 
 
@@ -55,21 +63,29 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A: a byte-level vocabulary file."""
+    """Tokenizer A: a byte-level vocabulary file. Where its merges are in the
+    order of their ids, as the file says, they serve as ranks of the quicker
+    of two encoders that give the same ids."""
 
     def __init__(self, path: str):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         letters = byte_letters()
-        n = self.tok.get_vocab_size()
-        self.bytes = [bytes(letters[c] for c in t) if (t := self.tok.id_to_token(i)) is not None
-                      and all(c in letters for c in t) else (t or "").encode() for i in range(n)]
-
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(segments, add_special_tokens=False)]
+        self.bytes = [b""] * (max(tok.get_vocab().values()) + 1)
+        for t, i in tok.get_vocab().items():
+            self.bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if all(model["vocab"].get(t) == 256 + k for k, t in enumerate(merged)):
+            import tiktoken
+            ranks = {self.bytes[i]: i for i in range(256 + len(merged))}
+            self.encode = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks,
+                                            special_tokens={}).encode_ordinary
+        else:
+            self.encode = lambda text: tok.encode(text, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -81,93 +97,130 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.tok.is_byte(i) else p.replace("▁", " ").encode()
                       for i in range(self.tok.get_piece_size()) for p in [self.tok.id_to_piece(i)]]
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return self.tok.encode([s[1:] for s in segments], num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.tok.encode(text[1:])
 
 
-def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """Numbers of A and B tokens before each common end."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common ends, and the numbers of A and of B tokens up to each."""
+    at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
-    return [at_a[e] for e in common], [at_b[e] for e in common]
-
-
-def linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, times) of the links of groups with na[g] and nb[g] tokens. A
-    group is expanded by its distinct ids, so that a long stretch without
-    common ends costs their product and not that of its tokens."""
-    sa, sb = np.cumsum(na) - na, np.cumsum(nb) - nb
-    one = (na == 1) & (nb == 1)
-    pairs, times = [a[sa[one]] * B_IDS + b[sb[one]]], [np.ones(int(one.sum()), np.int64)]
-    for g in np.flatnonzero(~one):
-        ua, ca = np.unique(a[sa[g]:sa[g] + na[g]], return_counts=True)
-        ub, cb = np.unique(b[sb[g]:sb[g] + nb[g]], return_counts=True)
-        pairs.append((ua[:, None] * B_IDS + ub[None, :]).ravel())
-        times.append((ca[:, None] * cb[None, :]).ravel())
-    return np.concatenate(pairs), np.concatenate(times)
-
-
-class Segment:
-    """One aligned segment."""
-    __slots__ = ("na", "nb", "groups", "links", "written", "pairs", "times")
-
-    def __init__(self, text: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        whole = text.encode("utf-8", "surrogatepass")
-        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.written = None
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return
-        cut_a, cut_b = common_cuts(np.cumsum([len(p) for p in parts_a]).tolist(),
-                                   np.cumsum([len(p) for p in parts_b]).tolist())
-        na, nb = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
-        self.na, self.nb, self.groups = len(a), len(b), len(cut_a)
-        self.links = int((na * nb).sum())
-        out, i, j = [], 0, 0
-        for p, q in zip(cut_a, cut_b):
-            out.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        self.written = ";".join(out).encode()
-        pairs, times = linked(np.array(a, np.int64), np.array(b, np.int64), na, nb)
-        self.pairs, at = np.unique(pairs, return_inverse=True)
-        self.times = np.bincount(at, times, len(self.pairs)).astype(np.int64)
+    return tuple(np.array(x, np.int64) for x in (common, [at_a[e] for e in common], [at_b[e] for e in common]))
+
+
+def before(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def links_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
+    """(pairs, times, rows): the linked pairs of all groups in order, how often
+    each is linked, and how many rows a group has. All pairs of a small group
+    are listed; one with over BIG links is expanded by its distinct ids, so a
+    long stretch without common ends costs their product."""
+    rows, start_a, start_b = na * nb, before(na), before(nb)
+    large = {}
+    for g in np.flatnonzero(rows > BIG).tolist():
+        ids_a, n = np.unique(a[start_a[g]:start_a[g] + na[g]], return_counts=True)
+        ids_b, m = np.unique(b[start_b[g]:start_b[g] + nb[g]], return_counts=True)
+        large[g] = (ids_a[:, None] * B_IDS + ids_b).ravel(), (n[:, None] * m).ravel()
+        rows[g] = len(large[g][0])
+    group = np.repeat(np.arange(len(rows)), rows)
+    at = np.arange(len(group)) - before(rows)[group]
+    width = nb[group]
+    pairs = a[np.minimum(start_a[group] + at // width, len(a) - 1)] * B_IDS + b[start_b[group] + at % width]
+    times = np.ones(len(pairs), np.int64)
+    for g, (p, t) in large.items():
+        lo = int(rows[:g].sum())
+        pairs[lo:lo + len(p)], times[lo:lo + len(p)] = p, t
+    return pairs, times, rows
 
 
 class Aligner:
-    """Aligns texts; segments seen before come from two generations of cache."""
+    """Aligns texts; segments seen before come from two generations of cache.
+    A segment is (counts, written, pairs, times): the bytes of its numbers of A
+    tokens, B tokens, groups and links, of its groups in decimals, of its
+    linked pairs and how often each is linked; None where the tokenizers do not
+    give its bytes."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.young: dict[str, Segment] = {}
-        self.old: dict[str, Segment] = {}
+        self.tok = ByteLevel(path_a), Pieces(path_b)
+        self.sizes = [np.array([len(x) for x in t.bytes]) for t in self.tok]
+        # decimals of the ids within a group and at its end
+        self.decimals = [np.array([[f"{i}{end}" for i in range(len(t.bytes))] for end in (",", last)], object)
+                         for t, last in zip(self.tok, "|;")]
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def segments(self, text: str) -> list[str]:
         text = " " + text
-        if IRREGULAR.search(text, 1):
+        if IRREGULAR.search(text):
             return CUT.split(text)
         return [" " + w for w in text[1:].split(" ")]
 
-    def aligned(self, keys: list[str]) -> list[Segment]:
+    def cut(self, texts: list[str]) -> list[tuple] | None:
+        """Segments that follow each other in one text, None where that does
+        not give their bytes."""
+        joined = "".join(texts)
+        whole = joined.encode("utf-8", "surrogatepass")
+        ids = [t.encode(joined) for t in self.tok]
+        if any(b"".join([t.bytes[i] for i in x]) != whole for t, x in zip(self.tok, ids)):
+            return None
+        a, b = (np.array(x, np.int64) for x in ids)
+        common, cut_a, cut_b = common_cuts(*(np.cumsum(s[x]) for s, x in zip(self.sizes, (a, b))))
+        ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+        last = np.searchsorted(common, ends)
+        if last[-1] >= len(common) or not np.array_equal(common[last], ends):
+            return None
+        na, nb = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        pairs, times, rows = links_of(a, b, na, nb)
+        groups = np.arange(len(common))
+        in_a, in_b = np.repeat(groups, na), np.repeat(groups, nb)
+        end_a, end_b = np.zeros(len(a), int), np.zeros(len(b), int)
+        end_a[cut_a - 1] = end_b[cut_b - 1] = 1
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + before(nb)[in_a]] = self.decimals[0][end_a, a]
+        shown[np.arange(len(b)) + cut_a[in_b]] = self.decimals[1][end_b, b]
+        shown = shown.tolist()
+        reach = np.concatenate([[0], np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))])
+        chars = reach[cut_a[last] + cut_b[last]].tolist()
+        upto = np.cumsum(rows)[last].tolist()
+        links = np.cumsum(na * nb)
+        counts = np.diff(np.stack([cut_a[last], cut_b[last], last + 1, links[last]], axis=1), axis=0,
+                         prepend=np.zeros((1, 4), np.int64)).tobytes()
+        written, pairs = "".join(shown).encode(), pairs.tobytes()
+        times = None if (times == 1).all() else times.tobytes()
+        out, x, y = [], 0, 0
+        for k, (p, q) in enumerate(zip(chars, upto)):
+            out.append((counts[32 * k:32 * k + 32], written[x:p], pairs[8 * y:8 * q], times and times[8 * y:8 * q]))
+            x, y = p, q
+        return out
+
+    def encoded(self, texts: list[str]) -> list[tuple | None]:
+        """Segments that were not seen before. They may follow each other in
+        one text, as each begins with a blank and ends visibly; one that ends
+        in white space is cut by itself."""
+        rest = [t for t in texts if not t[-1].isspace()]
+        found = self.cut(rest) if rest else []
+        out = dict(zip(rest, [(self.cut([t]) or [None])[0] for t in rest] if found is None else found))
+        return [out[t] if t in out else (self.cut([t]) or [None])[0] for t in texts]
+
+    def aligned(self, keys: list[str]) -> list[tuple | None]:
         """The segments, in order."""
-        found = []
-        unseen: dict[str, None] = {}
-        young, old = self.young, self.old
+        young, old, new = self.young, self.old, {}
         for k in keys:
-            s = young.get(k)
-            if s is None and (s := old.get(k)) is not None:
-                young[k] = s
-            found.append(s)
-            if s is None:
-                unseen[k] = None
-        if unseen:
-            texts = list(unseen)
-            new = {k: Segment(k, a, b, self.a.bytes, self.b.bytes)
-                   for k, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts))}
-            found = [new[k] if s is None else s for k, s in zip(keys, found)]
+            if k not in young and k not in new:
+                new[k] = None
+        if new:
+            unseen = [k for k in new if k not in old]
+            new.update((k, old[k]) for k in new if k in old)
+            new.update(zip(unseen, self.encoded(unseen) if unseen else ()))
+            found = [new[k] if k in new else young[k] for k in keys]
             young.update((k, s) for k, s in new.items() if len(k) <= CACHED_CHARS)
-        if len(young) > CACHED:
-            self.old, self.young = young, {}
-        return found
+            if len(young) > CACHED:
+                self.old, self.young = young, {}
+            return found
+        return [young[k] for k in keys]
 
 
 def pack(pairs: np.ndarray, times: np.ndarray) -> bytes:
@@ -198,20 +251,30 @@ class Block:
     def __init__(self, name: int):
         self.name, self.rows, self.pairs, self.times, self.size = name, [], [], [], 0
 
-    def add(self, doc_id: int | None, found: list[Segment]) -> None:
-        if not found or any(s.written is None for s in found):
+    def add(self, doc_id: int | None, found: list[tuple | None]) -> None:
+        if not found or None in found:
             self.rows.append((doc_id, 0, 0, 0, 0, ""))
             self.pairs.append(np.zeros(0, np.int64))
             self.times.append(np.zeros(0, np.int64))
             return
-        h = hashlib.sha256(found[0].written)
-        h.update(b"".join([b";" + s.written for s in found[1:]]))
-        self.rows.append((doc_id, sum([s.na for s in found]), sum([s.nb for s in found]),
-                          sum([s.groups for s in found]), sum([s.links for s in found]), h.hexdigest()))
-        pairs, at = np.unique(np.concatenate([s.pairs for s in found]), return_inverse=True)
-        self.pairs.append(pairs)
-        self.times.append(np.bincount(at, np.concatenate([s.times for s in found]), len(pairs)).astype(np.int64))
-        self.size += len(pairs)
+        counts, written, links, times = zip(*found)
+        sums = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4).sum(axis=0).tolist()
+        self.rows.append((doc_id, *sums, hashlib.sha256(b"".join(written)[:-1]).hexdigest()))
+        if any(times):
+            times = np.concatenate([np.frombuffer(t, np.int64) if t else np.ones(len(p) // 8, np.int64)
+                                    for p, t in zip(links, times)])
+        else:
+            times = None
+        links = np.frombuffer(b"".join(links), np.int64)
+        if times is None:
+            links = np.sort(links)
+        else:
+            order = np.argsort(links)
+            links, times = links[order], times[order]
+        first = np.flatnonzero(np.diff(links, prepend=-1))
+        self.pairs.append(links[first])
+        self.times.append(np.diff(first, append=len(links)) if times is None else np.add.reduceat(times, first))
+        self.size += len(first)
 
     def tables(self) -> Iterator[pa.RecordBatch]:
         known, at, docs = np.unique(np.concatenate(self.pairs), return_inverse=True, return_counts=True)
@@ -231,21 +294,39 @@ class Block:
 
 def blocks_of(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, block = None, None
+        aligner, block = Aligner(path_a, path_b), None
         for batch in batches:
-            aligner = aligner or Aligner(path_a, path_b)
-            for doc_id, text, name in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "name")]):
-                # a block bears the number of its first row
-                block = block or Block(name)
-                block.add(doc_id, aligner.aligned(aligner.segments(text)) if text else [])
-                if block.size >= BLOCK_LINKS:
-                    yield from block.tables()
-                    block = None
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "name")])
+            for part in chunks(rows):
+                cut = [aligner.segments(text) if text else [] for _, text, _ in part]
+                found = aligner.aligned([k for keys in cut for k in keys])
+                at = 0
+                for (doc_id, _, name), keys in zip(part, cut):
+                    # a block bears the number of its first row
+                    block = block or Block(name)
+                    block.add(doc_id, found[at:at + len(keys)])
+                    at += len(keys)
+                    if block.size >= BLOCK_LINKS:
+                        yield from block.tables()
+                        block = None
         if block:
             yield from block.tables()
     return run
 
 
+def chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows whose texts are encoded together."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[1] or "")
+        if size >= CHUNK_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def valued(documents: pa.Table, values: pa.Table) -> pa.Table:
     """Digest of each document of a block from the totals of its pairs."""
     order = np.argsort(values["at"].to_numpy())
