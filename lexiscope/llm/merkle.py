@@ -140,19 +140,19 @@ def build(rows: DataFrame, key: Column, group: Column, leaf: Column, shown: Colu
     small = trees.select(F.col("grp").alias("_grp"), "tree", "left")
     one = F.struct("pos", "key", "leaf", "shown")
     runs = (placed.join(small, F.col("grp").eqNullSafe(F.col("_grp")))
-            .groupBy("tree", "left", F.floor((F.col("pos") - F.col("tree")) / FANOUT).alias("idx"))
+            .groupBy("tree", F.col("left").alias("size"), F.floor((F.col("pos") - F.col("tree")) / FANOUT).alias("idx"))
             .agg(F.array_sort(F.collect_list(one)).alias("members"))
             .withColumn("first", F.col("members")[0]["pos"])
             .withColumn("own", F.col("members.leaf"))
-            .select("tree", F.ceil(F.col("left") / FANOUT).alias("left"), "idx", "first",
+            .select("tree", F.ceil(F.col("size") / FANOUT).alias("left"), "idx", "first",
                     F.size("members").cast("long").alias("leaves"),
-                    (F.col("first") * LEVELS + F.when(F.col("left") > 1, 1).otherwise(0)).alias("node"),
-                    F.when(F.col("left") > 1, folded(F.col("own"))).otherwise(F.col("own")[0]).alias("hash"),
+                    (F.col("first") * LEVELS + F.when(F.col("size") > 1, 1).otherwise(0)).alias("node"),
+                    F.when(F.col("size") > 1, folded(F.col("own"))).otherwise(F.col("own")[0]).alias("hash"),
                     "own",
                     F.transform("members", lambda m, i: F.struct(
                         m["key"].alias("key"), m["leaf"].alias("leaf"),
                         # the run itself is the first fold
-                        F.when(F.col("left") > 1, folded(F.transform(
+                        F.when(F.col("size") > 1, folded(F.transform(
                             "own", lambda x, j: F.when(i == j, m["shown"]).otherwise(x))))
                         .otherwise(m["shown"]).alias("shown"))).alias("held")))
     runs = materialized(runs)
