@@ -56,12 +56,20 @@ CTE = {
     "nodes": """nodes AS (
   SELECT DISTINCT doc_id, concat_ws('_', lower(text), pos) AS node, pos AS pos_tag FROM tokens
   UNION SELECT DISTINCT doc_id, 'ROOT_0', 'ROOT_0' FROM tokens)""",
+    # the annotator's heads are the token itself or the one before it, so the
+    # oracle finds them by a window instead of a self-join
+    "heads": """heads AS (
+  SELECT doc_id, sent_id, i, text, pos, dep, head_i,
+         CASE WHEN head_i = i THEN text ELSE lag(text) OVER s END AS head_text,
+         CASE WHEN head_i = i THEN lemma ELSE lag(lemma) OVER s END AS head_lemma,
+         CASE WHEN head_i = i THEN pos ELSE lag(pos) OVER s END AS head_pos
+  FROM tokens WINDOW s AS (PARTITION BY doc_id, sent_id ORDER BY i))""",
     "token_edges": """token_edges AS (
-  SELECT t.doc_id, t.sent_id, t.i,
-         CASE WHEN t.dep = 'ROOT' THEN 'ROOT_0' ELSE concat_ws('_', lower(h.text), h.pos) END AS src,
-         concat_ws('_', lower(t.text), t.pos) AS dst, t.dep,
-         CASE WHEN abs(t.i - t.head_i) > 0 THEN 1.0 / abs(t.i - t.head_i) ELSE 1.0 END AS dist
-  FROM tokens t LEFT JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head_i = h.i)""",
+  SELECT doc_id, sent_id, i,
+         CASE WHEN dep = 'ROOT' THEN 'ROOT_0' ELSE concat_ws('_', lower(head_text), head_pos) END AS src,
+         concat_ws('_', lower(text), pos) AS dst, dep,
+         CASE WHEN abs(i - head_i) > 0 THEN 1.0 / abs(i - head_i) ELSE 1.0 END AS dist
+  FROM heads)""",
     "edges": """edges AS (
   SELECT doc_id, src, dst, dep, dist FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id, src, dst ORDER BY sent_id DESC, i DESC) AS rn FROM token_edges) x
@@ -98,7 +106,7 @@ _DEPS = {
     "corpus": [], "answers": ["corpus"], "truth": ["corpus"],
     "scored": ["truth", "answers"], "faceted": ["scored"],
     "raw_tokens": [], "tokens": ["raw_tokens"], "token_ids": [],
-    "nodes": ["tokens"], "token_edges": ["tokens"], "edges": ["token_edges"],
+    "nodes": ["tokens"], "heads": ["tokens"], "token_edges": ["heads"], "edges": ["token_edges"],
     "gstats": ["nodes", "edges"], "good": ["gstats"], "fnodes": ["good"], "fedges": ["good"],
     "nv": ["fnodes", "token_ids"], "t2pred": [],
 }

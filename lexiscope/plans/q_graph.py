@@ -37,10 +37,8 @@ def q_tokens(spark, sf_dir):
     return X.tokens(spark, sf_dir)
 
 
-@register("token_info", with_ctes(["tokens"]) + """
-SELECT t.doc_id, t.sent_id, t.i, t.text, t.pos, t.dep, h.text AS head_text, h.lemma AS head_lemma,
-       h.pos AS head_pos, t.dep = 'ROOT' AS is_root
-FROM tokens t LEFT JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head_i = h.i""")
+@register("token_info", with_ctes(["heads"]) + """
+SELECT doc_id, sent_id, i, text, pos, dep, head_text, head_lemma, head_pos, dep = 'ROOT' AS is_root FROM heads""")
 def q_token_info(spark, sf_dir):
     """G1: tokens with their head's text, lemma and POS."""
     return G.token_info(X.tokens(spark, sf_dir)).select(
@@ -321,17 +319,16 @@ def q_gcn_propagate(spark, sf_dir):
   JOIN deg ds ON ds.doc_id = se.doc_id AND ds.node = se.src
   JOIN deg dd ON dd.doc_id = se.doc_id AND dd.node = se.dst
   UNION ALL SELECT x.doc_id, x.node, x.v, 1.0 / deg.deg FROM x JOIN deg ON x.doc_id = deg.doc_id AND x.node = deg.node)"""])
-    + """
-SELECT doc_id, node, list(value ORDER BY d) AS vec FROM (
-  SELECT doc_id, node, d, round(sum(w * val), 5) AS value FROM (
-    SELECT doc_id, node, w, unnest(range(64)) AS d, unnest(v) AS val FROM msg) s
-  GROUP BY doc_id, node, d) x
-GROUP BY doc_id, node""")
+    + f"""
+SELECT doc_id, node, {", ".join(f"sum(w * v[{j + 1}]) AS v{j}" for j in range(DIM))}
+FROM msg GROUP BY doc_id, node""")
 def q_gcn_propagate_full(spark, sf_dir):
-    """One round of normalised propagation; the new vector of every node."""
+    """One round of normalised propagation; the new vector of every node,
+    a column for each component (sums of doubles differ in their last digits
+    with the order of the rows, so they are not rounded into an array)."""
     nv = node_vecs(spark, sf_dir).select("doc_id", "node", "vec")
     x = G.propagate(nv, graphs(spark, sf_dir)[1], hops=1, directed=False)
-    return x.select("doc_id", "node", _rounded("vec", 5))
+    return x.select("doc_id", "node", *[F.col("vec")[j].alias(f"v{j}") for j in range(DIM)])
 
 
 # attention gate over all components, by a rule (fixed value)
