@@ -1,41 +1,56 @@
-"""Classifiers as Spark ML pipelines.
+"""Classifiers on TF-IDF rows of the whole vocabulary.
 
-``make_pipeline(name)`` returns an Estimator text -> probability for the
-baseline models; ``CalibratedClassifier`` is the k-fold sigmoid calibration
-wrapper (fit on k-1 folds, Platt-scale the margins of the held-out fold,
-average the k calibrated probabilities). Everything fits with Spark ML's
-distributed optimisers; only model coefficients reach the driver.
+``fit_text_classifier(train, name)`` returns the feature model and a
+classifier; with calibration (k folds: fit on k-1, sigmoid on the margins of
+the held-out one, average the k probabilities) the folds' linear models are
+fitted in step by the solvers of ``lexiscope.operators.solvers``. Naive Bayes,
+multinomial regression and trees are those of Spark ML. Everything fits over
+partitions; only coefficients reach the driver. Fitted models can be saved and
+loaded, calibrated ones with all their folds.
 """
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.scalar import decide
-from lexiscope.operators.features import tfidf_stages
+from lexiscope.operators import solvers
 from lexiscope.operators.sampling import hash_key
+from lexiscope.operators.terms import TermVectorizer
 
 MAX_ITER = 20
 
+# the reference's parameters (its libraries' defaults)
+LINEAR = {
+    "linear_svc": {"loss": "squared_hinge", "c": 1.0, "penalise_intercept": True, "tol": 1e-4, "max_iter": 1000},
+    "logreg": {"loss": "logistic", "c": 1.0, "penalise_intercept": False, "tol": 1e-4, "max_iter": 100},
+    "sgd": {"alpha": 1e-4, "tol": 1e-3, "patience": 5, "max_iter": 1000},
+}
+
 
-def base_estimator(name: str, n_classes: int = 2, features: str = "features", label: str = "label"):
-    """H9 registry: classifier by name (parameters mirror the reference's
-    defaults where Spark has an equivalent)."""
+def base_estimator(name: str, n_classes: int = 2, features: str = "features", label: str = "label",
+                   rows: int | None = None):
+    """H9 registry of Spark ML's classifiers by name. ``rows`` are the training
+    rows, from which the penalty of C = 1 follows."""
+    penalty = 0.01 if rows is None else 1.0 / max(rows, 1)
     if name == "linear_svc":
-        est = LinearSVC(regParam=0.01, maxIter=MAX_ITER)
-    elif name == "sgd":  # hinge loss, small L2 penalty
-        est = LinearSVC(regParam=1e-4, maxIter=MAX_ITER)
+        est = LinearSVC(regParam=penalty, maxIter=MAX_ITER)
     elif name == "logreg":
-        est = LogisticRegression(regParam=0.01, elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER,
+        est = LogisticRegression(regParam=penalty, elasticNetParam=0.0, standardization=False,
+                                 maxIter=MAX_ITER if rows is None else 500,
                                  family="multinomial" if n_classes > 2 else "binomial")
     elif name == "nb":
         est = NaiveBayes(modelType="multinomial", smoothing=1.0)
@@ -46,11 +61,153 @@ def base_estimator(name: str, n_classes: int = 2, features: str = "features", la
     else:
         raise ValueError(f"unknown model {name!r}")
     est = est.setFeaturesCol(features).setLabelCol(label)
-    if n_classes > 2 and name in ("linear_svc", "sgd", "gbt"):
+    if n_classes > 2 and name in ("linear_svc", "gbt"):
         est = OneVsRest(classifier=est, featuresCol=features, labelCol=label)
     return est
 
 
+def fold_of(key: str, folds: int) -> F.Column:
+    return F.pmod(F.xxhash64(hash_key(key, "fold")), F.lit(folds)).cast("int")
+
+
+def sigmoids(scored: DataFrame, folds: int, max_iter: int = 100, tol: float = 1e-10) -> list[tuple[float, float]]:
+    """Per fold the sigmoid 1 / (1 + exp(-(a m + b))) of its held-out margins:
+    logistic regression on ``(fold, m, y)`` with Platt's smoothed targets, by
+    Newton steps that are halved until the loss falls. A step is one grouped
+    sum over the rows for all folds."""
+    counts = {r.fold: (r.p, r.n) for r in scored.groupBy("fold").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()}
+    high = [(counts.get(k, (0, 0))[0] + 1.0) / (counts.get(k, (0, 0))[0] + 2.0) for k in range(folds)]
+    low = [1.0 / (counts.get(k, (0, 0))[1] - counts.get(k, (0, 0))[0] + 2.0) for k in range(folds)]
+
+    def of(values) -> F.Column:
+        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("fold") + 1)
+
+    rows = scored.select("fold", "m", F.when(F.col("y") == 1, of(high)).otherwise(of(low)).alias("t"))
+
+    def sums(a, b):
+        z = of(a) * F.col("m") + of(b)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        gap, curve = p - F.col("t"), p * (1.0 - p)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("t") * z
+        got = rows.groupBy("fold").agg(F.sum(loss), F.sum(gap * F.col("m")), F.sum(gap), F.sum(curve * F.col("m") ** 2),
+                                       F.sum(curve * F.col("m")), F.sum(curve)).collect()
+        out = np.zeros((folds, 6))
+        for r in got:
+            out[r[0]] = r[1:]
+        return out
+
+    odds = [(counts.get(k, (0, 0))[0] + 1.0) / (counts.get(k, (0, 0))[1] - counts.get(k, (0, 0))[0] + 1.0)
+            for k in range(folds)]
+    a, b = np.zeros(folds), np.log(odds)
+    now, size = sums(a, b), np.ones(folds)
+    for _ in range(max_iter):
+        _, ga, gb, haa, hab, hbb = now.T
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        ok = (np.maximum(np.abs(ga), np.abs(gb)) > tol * np.maximum(1.0, now[:, 0])) & (det > 0)
+        if not ok.any():
+            break
+        safe = np.where(det > 0, det, 1.0)
+        da, db = -(hbb * ga - hab * gb) / safe, -(haa * gb - hab * ga) / safe
+        step = np.where(ok, size, 0.0)
+        then = sums(a + step * da, b + step * db)
+        better = ok & (then[:, 0] <= now[:, 0])
+        a, b = np.where(better, a + step * da, a), np.where(better, b + step * db, b)
+        now = np.where(better[:, None], then, now)
+        size = np.where(better, 1.0, size / 2)
+        if not (ok & (size > 1e-8)).any():
+            break
+    return [(float(x), float(y)) for x, y in zip(a, b)]
+
+
+class LinearClassifier(Estimator):
+    """H1 to H3 by name (``LINEAR``), binary: classes 0 and 1. With ``folds``
+    the models of all folds are fitted in step and calibrated (H6); with
+    ``classes`` one model for each class against the rest. ``args`` replace
+    the reference's parameters."""
+
+    def __init__(self, name: str, folds: int = 0, classes: int = 0, idCol: str = "id", labelCol: str = "label",
+                 **args):
+        super().__init__()
+        self.name, self.folds, self.classes, self.id, self.label = name, folds, classes, idCol, labelCol
+        self.args = {**LINEAR[name], **args}
+
+    def _fit(self, df: DataFrame) -> "LinearClassifierModel":
+        size = df.select(F.col("features")).first()[0].size         # one row: the number of columns
+        fold = fold_of(self.id, self.folds) if self.folds else F.lit(-1)
+        targets = list(range(self.classes)) if self.classes else [1] * max(self.folds, 1)
+        rows = solvers.labelled(df, self.label, fold).persist()
+        solve = solvers.sgd if self.name == "sgd" else solvers.newton
+        weights, _ = solve(rows, size + 1, targets, **self.args)
+        rows.unpersist()
+        curves = None
+        if self.folds:
+            own = solvers.margins(df, weights).select(
+                fold.alias("fold"), F.col(self.label).cast("int").alias("y"), "margins")
+            held = own.select("fold", "y", F.element_at("margins", F.col("fold") + 1).alias("m")).persist()
+            curves = sigmoids(held, self.folds)
+            held.unpersist()
+        return LinearClassifierModel(weights, curves, self.classes)
+
+
+class LinearClassifierModel(Model, MLWritable, MLReadable):
+    """``margins`` of the models, ``prob`` of class 1 (the average of the
+    calibrated probabilities; the logistic function of the margin where there
+    is no calibration) and ``prediction``."""
+
+    def __init__(self, weights=None, curves=None, classes: int = 0):
+        super().__init__()
+        self.weights, self.curves, self.classes = weights, curves, classes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = solvers.margins(df, self.weights)
+        if self.classes:
+            return out.withColumn("prediction", (F.array_position(
+                "margins", F.array_max("margins")) - 1).cast("double"))
+        curves = self.curves or [(1.0, 0.0)]
+        each = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("margins")[k] * a + b))) for k, (a, b) in enumerate(curves)]
+        return (out.withColumn("prob", sum(each[1:], each[0]) / float(len(each)))
+                .withColumn("prediction", (F.col("prob") > 0.5).cast("double")))
+
+    def write(self) -> MLWriter:
+        return _LinearWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _LinearReader(cls)
+
+
+class _LinearWriter(MLWriter):
+    """Weights as rows (model, columns from ``start``), a slice each."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        m, spark = self.instance, self.sparkSession
+        DefaultParamsWriter.saveMetadata(m, path, spark, extraMetadata={
+            "curves": m.curves, "classes": m.classes, "shape": list(m.weights.shape)})
+        pieces = [(k, at, w[at:at + solvers.SLICE].tolist()) for k, w in enumerate(m.weights)
+                  for at in range(0, len(w), solvers.SLICE)]
+        spark.createDataFrame(pieces, "model int, start int, w array<double>").write.parquet(os.path.join(path, "weights"))
+
+
+class _LinearReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        weights = np.zeros(meta["shape"])
+        for r in self.sparkSession.read.parquet(os.path.join(path, "weights")).toLocalIterator():
+            weights[r.model, r.start:r.start + len(r.w)] = r.w
+        m = self.cls(weights, meta["curves"] and [tuple(c) for c in meta["curves"]], meta["classes"])
+        m._resetUid(meta["uid"])
+        return m
+
+
 def margin_col(model_out: DataFrame, raw: str = "rawPrediction") -> F.Column:
     """Decision value for class 1 of a binary model."""
     return vector_to_array(F.col(raw))[1]
@@ -75,33 +232,24 @@ class CalibratedClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         return out.select("*", margin_col(out).alias("_m"))
 
     def _fit(self, df: DataFrame):
-        lab, feat = self.getLabelCol(), self.getFeaturesCol()
-        d = df.withColumn("_fold", F.pmod(F.xxhash64(hash_key(self._id, "fold")), F.lit(self._folds)))
-        pairs = []
+        lab = self.getLabelCol()
+        d = df.withColumn("_fold", fold_of(self._id, self._folds))
+        models, held = [], None
         for k in range(self._folds):
-            tr = d.where(F.col("_fold") != k)
-            ho = d.where(F.col("_fold") == k)
-            m = self._base.copy().fit(tr)
-            s = self._score(m, ho).select(lab, "_m")
-            cnt = s.groupBy().agg(F.sum(F.col(lab)).alias("np"), F.count(F.lit(1)).alias("n"))
-            s = s.crossJoin(F.broadcast(cnt)).select(
-                "_m", F.col(lab).alias("_y"),
-                F.when(F.col(lab) == 1, (F.col("np") + 1.0) / (F.col("np") + 2.0))
-                 .otherwise(F.lit(1.0) / (F.col("n") - F.col("np") + 2.0)).alias("_t"))
-            dup = s.select("_m", F.explode(F.array(
-                F.struct(F.lit(1.0).alias("_l"), F.col("_t").alias("_w")),
-                F.struct(F.lit(0.0).alias("_l"), (1.0 - F.col("_t")).alias("_w")))).alias("x")).select("_m", "x.*")
-            va = VectorAssembler(inputCols=["_m"], outputCol="_mf")
-            platt = LogisticRegression(featuresCol="_mf", labelCol="_l", weightCol="_w", regParam=0.0,
-                                       standardization=False, maxIter=100).fit(va.transform(dup))
-            pairs.append((m, float(platt.coefficients[0]), float(platt.intercept)))
+            models.append(self._base.copy().fit(d.where(F.col("_fold") != k)))
+            s = self._score(models[-1], d.where(F.col("_fold") == k)).select(
+                F.lit(k).alias("fold"), F.col(lab).cast("int").alias("y"), F.col("_m").alias("m"))
+            held = s if held is None else held.unionByName(s)
+        held = held.persist()
+        pairs = [(m, *curve) for m, curve in zip(models, sigmoids(held, self._folds))]
+        held.unpersist()
         return CalibratedModel(pairs, self._useprob)
 
 
-class CalibratedModel(Model):
+class CalibratedModel(Model, MLWritable, MLReadable):
     """Average of the k calibrated probabilities -> ``prob`` (class 1)."""
 
-    def __init__(self, pairs, use_probability=False):
+    def __init__(self, pairs=(), use_probability=False):
         super().__init__()
         self.pairs, self._useprob = pairs, use_probability
 
@@ -119,19 +267,58 @@ class CalibratedModel(Model):
         return acc.select(*cols, mean.alias("prob"))
 
 
-def fit_text_classifier(train: DataFrame, name: str, calibrated: bool = True, folds: int = 5,
-                        vocab_size: int = 1 << 16):
-    """H1-H4: TF-IDF features + classifier (+ calibration). Returns
-    ``(feature_model, classifier_model)``."""
-    feats = Pipeline(stages=tfidf_stages(vocab_size=vocab_size)).fit(train)
-    # iterative optimisers pass over the features many times: keep them
-    # cached (recomputed from lineage if an executor is lost)
-    x = feats.transform(train).select("id", "label", "features").persist()
+    def write(self) -> MLWriter:
+        return _CalibratedWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CalibratedReader(cls)
+
+
+class _CalibratedWriter(MLWriter):
+    """The folds' models as nested stages, the sigmoids in the metadata."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        m = self.instance
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={
+            "curves": [[a, b] for _, a, b in m.pairs], "use_probability": m._useprob})
+        for k, (base, _, _) in enumerate(m.pairs):
+            base.write().save(os.path.join(path, "folds", str(k)))
+
+
+class _CalibratedReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        pairs = [(DefaultParamsReader.loadParamsInstance(os.path.join(path, "folds", str(k)), self.sparkSession), a, b)
+                 for k, (a, b) in enumerate(meta["curves"])]
+        m = self.cls(pairs, meta["use_probability"])
+        m._resetUid(meta["uid"])
+        return m
+
+
+def classifier(name: str, calibrated: bool = True, folds: int = 5, **args) -> Estimator:
+    """H9: a binary text classifier by name, with the reference's parameters
+    unless ``args`` replace them."""
+    if name in LINEAR:
+        return LinearClassifier(name, folds=folds if calibrated else 0, **args)
     base = base_estimator(name)
-    clf = (CalibratedClassifier(base=base, folds=folds, use_probability=(name in ("nb", "gbt")))
-           if calibrated else base).fit(x)
-    x.unpersist()
-    return feats, clf
+    base = base.copy({base.getParam(k): v for k, v in args.items()})
+    return CalibratedClassifier(base=base, folds=folds, use_probability=True) if calibrated else base
+
+
+def fit_text_classifier(train: DataFrame, name: str, calibrated: bool = True, folds: int = 5, **args):
+    """H1-H4: TF-IDF features over all terms + classifier (+ calibration).
+    Returns ``(feature_model, classifier_model)``."""
+    feats = TermVectorizer().fit(train)
+    return feats, classifier(name, calibrated, folds, **args).fit(feats.transform(train))
 
 
 def predict_proba(feats, clf, df: DataFrame) -> DataFrame:
@@ -149,11 +336,16 @@ def score(feats, clf, df: DataFrame, margin: float = 0.05) -> DataFrame:
     return predict_proba(feats, clf, df).select("id", decide(F.col("prob"), margin).alias("label"))
 
 
-def fit_multiclass(train: DataFrame, name: str, n_classes: int = 6, vocab_size: int = 1 << 16):
-    """H5 / H7: TF-IDF + a 6-class model (OneVsRest for the binary learners)."""
-    feats = Pipeline(stages=tfidf_stages(vocab_size=vocab_size)).fit(train)
-    x = feats.transform(train).select("id", "label", "features").persist()
-    clf = base_estimator(name, n_classes).fit(x)
+def fit_multiclass(train: DataFrame, name: str, n_classes: int = 6):
+    """H5 / H7: TF-IDF over all terms + a model of several classes: SVM and SGD
+    one-vs-rest (all classes in step), multinomial regression, naive Bayes or
+    trees."""
+    feats = TermVectorizer().fit(train)
+    x = feats.transform(train).select("label", "features", "indices", "values")
+    if name in ("linear_svc", "sgd"):
+        return PipelineModel([feats, LinearClassifier(name, classes=n_classes).fit(x)])
+    x = x.select("label", "features").persist()
+    clf = base_estimator(name, n_classes, rows=x.count()).fit(x)
     x.unpersist()
     return PipelineModel([feats, clf])
 

@@ -28,9 +28,15 @@ def answer_stream(spark: SparkSession, folder: str, max_files: int = 100) -> Dat
 
 
 def score_stream(texts: DataFrame, feats, clf, out_dir: str, checkpoint: str, once: bool = True):
+    """Each micro-batch is scored as a batch job is (its terms meet the whole
+    vocabulary in a join) and written to a folder of its own, which a repeated
+    batch overwrites."""
     from lexiscope.operators.models import score
-    q = (score(feats, clf, texts).writeStream.format("json").outputMode("append")
-         .option("path", out_dir).option("checkpointLocation", checkpoint))
+
+    def answer(batch: DataFrame, number: int) -> None:
+        score(feats, clf, batch).write.mode("overwrite").json(f"{out_dir}/batch={number}")
+
+    q = texts.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if once else q.trigger(processingTime="30 seconds")
     return q.start()
 

@@ -10,7 +10,7 @@ def test_calibrated_probabilities_in_range(spark):
     from lexiscope.plans.q_sampling import partitions
     p = partitions(spark, SF).select("id", "text", "label", "split").checkpoint()
     tr, te = p.where("split = 'train'"), p.where("split = 'test'")
-    feats, clf = MD.fit_text_classifier(tr, "nb", calibrated=True, folds=3, vocab_size=1 << 12)
+    feats, clf = MD.fit_text_classifier(tr, "nb", calibrated=True, folds=3)
     out = MD.predict_proba(feats, clf, te).select("prob").collect()
     assert out and all(0.0 <= r.prob <= 1.0 for r in out)
 
