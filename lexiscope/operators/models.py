@@ -47,10 +47,10 @@ def base_estimator(name: str, n_classes: int = 2, features: str = "features", la
     rows, from which the penalty of C = 1 follows."""
     penalty = 0.01 if rows is None else 1.0 / max(rows, 1)
     if name == "linear_svc":
-        est = LinearSVC(regParam=penalty, maxIter=MAX_ITER)
+        est = LinearSVC(regParam=penalty, maxIter=MAX_ITER if rows is None else 1000)
     elif name == "logreg":
         est = LogisticRegression(regParam=penalty, elasticNetParam=0.0, standardization=False,
-                                 maxIter=MAX_ITER if rows is None else 500,
+                                 maxIter=MAX_ITER if rows is None else 1000,
                                  family="multinomial" if n_classes > 2 else "binomial")
     elif name == "nb":
         est = NaiveBayes(modelType="multinomial", smoothing=1.0)
@@ -321,9 +321,8 @@ def fit_text_classifier(train: DataFrame, name: str, calibrated: bool = True, fo
     return feats, classifier(name, calibrated, folds, **args).fit(feats.transform(train))
 
 
-def predict_proba(feats, clf, df: DataFrame) -> DataFrame:
-    """Class-1 probability ``prob`` per row (one job, no per-row loop)."""
-    out = clf.transform(feats.transform(df))
+def with_probability(out: DataFrame) -> DataFrame:
+    """Class-1 probability ``prob`` of a classifier's output."""
     if "prob" not in out.columns and "probability" in out.columns:
         out = out.withColumn("prob", vector_to_array(F.col("probability"))[1])
     elif "prob" not in out.columns:  # margin-only model: logistic link
@@ -331,6 +330,11 @@ def predict_proba(feats, clf, df: DataFrame) -> DataFrame:
     return out
 
 
+def predict_proba(feats, clf, df: DataFrame) -> DataFrame:
+    """Class-1 probability ``prob`` per row (one job, no per-row loop)."""
+    return with_probability(clf.transform(feats.transform(df)))
+
+
 def score(feats, clf, df: DataFrame, margin: float = 0.05) -> DataFrame:
     """H8: ``(id, label)`` answers with the undecided band mapped to 0.5."""
     return predict_proba(feats, clf, df).select("id", decide(F.col("prob"), margin).alias("label"))
@@ -360,7 +364,7 @@ def fit_embedding_classifier(df: DataFrame, kind: str = "logreg", vec: str = "ve
     if kind == "mlp":
         clf = MultilayerPerceptronClassifier(layers=[dim, 256, 128, 2], maxIter=MAX_ITER, seed=42)
     else:
-        clf = base_estimator({"logreg": "logreg", "svm": "linear_svc", "rf": "random_forest"}[kind])
+        clf = base_estimator({"logreg": "logreg", "svm": "linear_svc", "rf": "random_forest"}[kind], rows=d.count())
     clf = clf.setLabelCol(label)
     return Pipeline(stages=[sc, clf]).fit(d), "_raw"
 

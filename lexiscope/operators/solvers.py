@@ -79,35 +79,46 @@ class Pass:
 
     def __call__(self, part: Callable[[Iterator[Rows], dict], np.ndarray | None], state: dict) -> np.ndarray:
         columns, targets = self.columns, self.targets
-        models, shared = len(targets), self.rows.sparkSession.sparkContext.broadcast(state)
         self.passes += 1
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = part((Rows(b, columns, targets) for b in batches if b.num_rows), shared.value)
-            if total is not None:
-                for k in range(0, total.shape[1], SLICE):
-                    piece = np.ascontiguousarray(total[:, k:k + SLICE])
-                    if piece.any():
-                        yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int32()),
-                                                          "width": pa.array([total.shape[1]], pa.int64()),
-                                                          "sums": pa.array([piece.tobytes()], pa.binary())})
-
-        def add(pieces: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(s.as_buffer()) for s in pieces["sums"])
-            return pa.table({"slice": pieces["slice"].slice(0, 1), "width": pieces["width"].slice(0, 1),
-                             "sums": pa.array([total.tobytes()], pa.binary())})
-
-        schema = "slice int, width long, sums binary"
-        pieces = self.rows.mapInArrow(run, schema)
-        if 8 * models * columns * self.partitions > DIRECT:
-            pieces = pieces.groupBy("slice").applyInArrow(add, schema)
-        got = pieces.collect()
-        shared.unpersist()
-        out = np.zeros((models, max((r.width for r in got), default=0)))
-        for r in got:
-            piece = np.frombuffer(r.sums).reshape(models, -1)
-            out[:, r.slice * SLICE:r.slice * SLICE + piece.shape[1]] += piece
-        return out
+        def run(batches: Iterator[pa.RecordBatch], now: dict) -> np.ndarray | None:
+            return part((Rows(b, columns, targets) for b in batches if b.num_rows), now)
+
+        return array_sum(self.rows, run, state, len(targets), 8 * len(targets) * columns * self.partitions > DIRECT)
+
+
+def array_sum(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch], dict], np.ndarray | None], state: dict,
+              height: int, by_shuffle: bool) -> np.ndarray:
+    """Sum of the arrays (height x any width) that ``part`` makes of the
+    record batches of each partition."""
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = part(batches, shared.value)
+        if total is not None:
+            for k in range(0, total.shape[1], SLICE):
+                piece = np.ascontiguousarray(total[:, k:k + SLICE])
+                if piece.any():
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int32()),
+                                                      "width": pa.array([total.shape[1]], pa.int64()),
+                                                      "sums": pa.array([piece.tobytes()], pa.binary())})
+
+    def add(pieces: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_buffer()) for s in pieces["sums"])
+        return pa.table({"slice": pieces["slice"].slice(0, 1), "width": pieces["width"].slice(0, 1),
+                         "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, width long, sums binary"
+    pieces = rows.mapInArrow(run, schema)
+    if by_shuffle:
+        pieces = pieces.groupBy("slice").applyInArrow(add, schema)
+    got = pieces.collect()
+    shared.unpersist()
+    out = np.zeros((height, max((r.width for r in got), default=0)))
+    for r in got:
+        piece = np.frombuffer(r.sums).reshape(height, -1)
+        out[:, r.slice * SLICE:r.slice * SLICE + piece.shape[1]] += piece
+    return out
 
 
 # ---- trust-region Newton

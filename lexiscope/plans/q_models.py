@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiscope.operators import metrics as M
+from lexiscope.operators import mlp
 from lexiscope.operators import models as MD
 from lexiscope.operators.terms import TermVectorizer
 from lexiscope.plans.catalog import register
@@ -110,14 +111,20 @@ def q_model_persist(spark, sf_dir):
 
 @register("train_val_test_report")
 def q_train_val_test_report(spark, sf_dir):
-    """H9 + H13: models chosen by name, fitted on train, reported on train
-    and test -> (model, split, metric, value)."""
+    """H9 + H13: models chosen by name, fitted on four fifths of the training
+    rows, reported on those, on the validation fifth and on the test rows ->
+    (model, split, metric, value)."""
+    from lexiscope.operators.sampling import stratified_split
     tr, te = _splits(spark, sf_dir)
+    tr = checkpointed(stratified_split(tr.drop("split"), "label", 0.2, names=("train", "val")))
+    tr, va = tr.where("split = 'train'"), tr.where("split = 'val'")
+    feats = TermVectorizer().fit(tr)
+    sets = [(split, feats.transform(df)) for split, df in (("train", tr), ("val", va), ("test", te))]
     out = None
     for name in ("nb", "logreg"):
-        feats, clf = MD.fit_text_classifier(tr, name, calibrated=False)
-        for split, df in (("train", tr), ("test", te)):
-            p = MD.predict_proba(feats, clf, df).select("label", (F.col("prob") > 0.5).cast("int").alias("pred"))
+        clf = MD.classifier(name, calibrated=False).fit(sets[0][1])
+        for split, df in sets:
+            p = MD.with_probability(clf.transform(df)).select("label", (F.col("prob") > 0.5).cast("int").alias("pred"))
             r = M.accuracy(p).crossJoin(M.f1_macro(p)).selectExpr(
                 f"'{name}' AS model", f"'{split}' AS split", "stack(2, 'accuracy', accuracy, 'f1_macro', f1_macro) AS (metric, value)")
             out = r if out is None else out.unionByName(r)
@@ -157,29 +164,84 @@ def q_graph_embedding_classifier(spark, sf_dir):
     return M.accuracy(p).crossJoin(M.f1_macro(p))
 
 
-@register("pooled_mlp")
-def q_pooled_mlp(spark, sf_dir):
-    """MLP (2 x 200 hidden) on mean-pooled node vectors -> predictions."""
+def _three_way(e):
+    """``split`` train / val / test (60, 20, 20 percent of each label)."""
+    from lexiscope.operators.sampling import stratified_split
+    s = checkpointed(stratified_split(e, "label", 0.2, names=("rest", "test")))
+    inner = stratified_split(s.where("split = 'rest'").drop("split"), "label", 0.25, names=("train", "val"))
+    return checkpointed(inner.unionByName(s.where("split = 'test'")))
+
+
+def _pooled(spark, sf_dir):
+    """Mean node vector and label per document, with splits."""
     from lexiscope.operators import graph as G
     from lexiscope.plans.q_graph import node_vecs
     pooled = G.pool(node_vecs(spark, sf_dir), "mean")
     lab = X.corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), "label")
-    d = checkpointed(pooled.join(lab, "doc_id"))
-    m = MD.fit_pooled_mlp(d)
+    return _three_way(pooled.join(lab, "doc_id").withColumnRenamed("doc_id", "id"))
+
+
+def _fit_pooled(spark, rows):
+    return mlp.train(rows, [200, 200], epochs=100, patience=15, batch=64, lr=1e-3, dropout=0.5, decay=1e-4,
+                     folder=IO.scratch_path(spark, "epochs"))
+
+
+@register("pooled_mlp")
+def q_pooled_mlp(spark, sf_dir):
+    """MLP (2 x 200 hidden) on mean-pooled node vectors, trained in
+    epochs with early stopping -> predictions for the test documents."""
+    rows = _pooled(spark, sf_dir)
+    out = _fit_pooled(spark, rows).transform(rows.where("split = 'test'"))
+    return out.select(F.col("id").alias("doc_id"), "label", F.col("prediction").alias("pred"))
+
+
+@register("training_epochs")
+def q_training_epochs(spark, sf_dir):
+    """H13 + I16: the epochs of the H11 fit: per metric (loss, accuracy and
+    macro F1 on train, val and test) the best value and its first epoch, the
+    last epoch and its value."""
+    model = _fit_pooled(spark, _pooled(spark, sf_dir))
+    table = model.table(spark, "pooled_mlp")
+    best = M.best_steps(table.where(~F.col("metric").endswith("loss")))
+    loss = M.best_steps(table.where(F.col("metric").endswith("loss")).withColumn("value", -F.col("value")))
+    loss = loss.withColumn("best_value", -F.col("best_value")).withColumn("last_value", -F.col("last_value"))
+    return best.unionByName(loss).withColumn("kept_step", F.lit(model.best))
+
+
+@register("graph_embedding_classifiers")
+def q_graph_embedding_classifiers(spark, sf_dir):
+    """Logistic regression, linear SVM, random forest and MLP (256-128)
+    on standardised graph embeddings -> accuracy and macro F1 on test."""
     from pyspark.ml.functions import array_to_vector
-    return m.transform(d.withColumn("features", array_to_vector(F.col("vec")))).select(
-        "doc_id", "label", F.col("prediction").cast("int").alias("pred"))
+    e = graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    rows = _three_way(checkpointed(e))
+    tr, te = rows.where("split <> 'test'"), rows.where("split = 'test'")
+    out = None
+    for kind in ("logreg", "svm", "rf", "mlp"):
+        if kind == "mlp":
+            p = mlp.train(rows, [256, 128], epochs=100, patience=10, batch=200, lr=1e-3, decay=1e-4).transform(te)
+        else:
+            m, raw = MD.fit_embedding_classifier(tr, kind)
+            p = m.transform(te.withColumn(raw, array_to_vector(F.col("vec"))))
+        p = p.select("label", F.col("prediction").cast("int").alias("pred"))
+        r = M.accuracy(p).crossJoin(M.f1_macro(p)).select(F.lit(kind).alias("model"), "accuracy", "f1_macro")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @register("score_corpus_graph")
 def q_score_corpus_graph(spark, sf_dir):
-    """End to end - graph embeddings -> fitted head -> probability ->
-    undecided band -> (id, label) answers for every labelled document."""
+    """A head fitted on the graph embeddings of the training documents,
+    saved and loaded again, scores the documents it has not seen ->
+    probability -> undecided band -> (id, label) answers."""
     from lexiscope.functions.scalar import decide
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    e = checkpointed(graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id"))
-    m, raw = MD.fit_embedding_classifier(e, "logreg")
-    out = m.transform(e.withColumn(raw, array_to_vector(F.col("vec"))))
+    rows = _three_way(checkpointed(graph_embeddings(spark, sf_dir).withColumnRenamed("doc_id", "id")))
+    m, raw = MD.fit_embedding_classifier(rows.where("split = 'train'"), "logreg")
+    path = IO.scratch_path(spark, "head")
+    IO.save_model(m, path)
+    unseen = rows.where("split <> 'train'").withColumn(raw, array_to_vector(F.col("vec")))
+    out = IO.load_model(path).transform(unseen)
     return out.select("id", decide(vector_to_array(F.col("probability"))[1]).alias("label"))
 
 
