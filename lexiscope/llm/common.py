@@ -83,13 +83,14 @@ def crc_mod(col: str, n: int):
 def sample_by_hash(df: DataFrame, key: str, rows: int, per: str) -> DataFrame:
     """About ``rows`` rows of each value of ``per``, those with the smallest
     hashes of ``key``: a threshold from the counts, so nothing is sorted or
-    gathered. The counts have one row per class."""
+    gathered. The counts have one row per class and are broadcast, so the rows
+    meet them where they are read."""
     space = 1 << 32
     h = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(space))
     cut = (df.groupBy(per).agg(F.count("*").alias("_n"))
            .select(F.col(per).alias("_per"), (F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
                                               * space).alias("_cut")))
-    return (df.join(cut, F.col(per) == F.col("_per"))
+    return (df.join(F.broadcast(cut), F.col(per) == F.col("_per"))
             .where(h < F.col("_cut")).drop("_per", "_cut"))
 
 
