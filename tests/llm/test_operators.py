@@ -376,3 +376,27 @@ def test_lm_learns_from_every_position():
         parts = [lm.turn(t, r, 1 / rounds) for r in range(rounds)]
         assert sorted(np.concatenate(parts)) == list(range(1001))
     assert len(lm.turn(t, 0, 0.5)) == 500 and not len(lm.turn(t[:0], 0, 1))
+
+
+def test_lm_blocks_number_each_outside_word_once(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 5)
+    rng = np.random.default_rng(3)
+    texts = [[f"w{k}" for k in rng.integers(0, 12, rng.integers(0, 9))] for _ in range(60)]
+    ids = [np.array([int(w[1:]) for w in t], np.int32) for t in texts]
+    blocks, lists = lm.Blocks(1 << 33), {}
+    for text, x in zip(texts, ids):
+        block, had, new, uses = blocks.add(text, x, 3)
+        known = lists.setdefault(block, [])
+        assert len(known) == had
+        known += new
+        assert [known[k] for k in np.frombuffer(uses, np.int32)] == [w for w, i in zip(text, x) if i >= 3]
+    assert len(lists) > 1 and all(len(set(v)) == len(v) for v in lists.values())
+    assert min(lists) == 1 << 33 and max(lists) < (1 << 33) + 60
+
+
+def test_lm_replaces_columns_named_like_outputs(spark):
+    docs = docs_of(spark, [(1, "one two one"), (2, ""), (3, None)]).withColumn("n_words", F.lit("x"))
+    docs = docs.withColumn("logprob", F.lit(5)).withColumn("units", F.lit(1))
+    got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
+    assert [got[k].n_words for k in (1, 2, 3)] == [3, 0, 0] and got[2].logprob == 0 and got[3].mean_logprob is None
+    assert got[1].units == 1 and got[1].logprob < 0
