@@ -86,7 +86,7 @@ def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs)).select("doc_id", "n_words", "logprob", "mean_logprob")
+    return lm.score(docs, lm.fit(docs), keep=["doc_id"]).select("doc_id", "n_words", "logprob", "mean_logprob")
 
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

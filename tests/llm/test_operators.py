@@ -350,14 +350,15 @@ def test_lm_scores_equal_a_plain_computation(spark):
     assert lm.score(docs.limit(0), lm.fit(docs.limit(0))).count() == 0
 
 
-def test_lm_words_have_their_own_probability(spark):
+@pytest.mark.parametrize("known", [0, 1000, lm.KNOWN])
+def test_lm_words_have_their_own_probability(spark, known):
     common = " ".join(f"w{k:04d}" for k in range(lm.WORDS))
     rare = [f"r{k:05d}" for k in range(3000)]
     same = [w for w in rare if zlib.crc32(w.encode()) % lm.HASHED == 7]
     x, y = same[:2]
     new = next(w for w in (f"n{k}" for k in range(9999)) if zlib.crc32(w.encode()) % lm.HASHED == 7)
     rows = [(1, " ".join([common] * 9)), (2, " ".join(rare)), (3, f"{x} " * 6)]
-    model = lm.fit(docs_of(spark, rows))
+    model = lm.fit(docs_of(spark, rows), known=known)
     seen = docs_of(spark, [(1, x), (2, y), (3, new), (3, new), (4, f"{x} {y}"), (4, f"{x} {y}"), (5, "w0001")])
     got = {r.doc_id: r for r in lm.score(seen, model).collect()}
     n = len(same) + 6                                       # occurrences of the class, of which 7 are x
@@ -385,7 +386,7 @@ def test_lm_blocks_number_each_outside_word_once(monkeypatch):
     ids = [np.array([int(w[1:]) for w in t], np.int32) for t in texts]
     blocks, lists = lm.Blocks(1 << 33), {}
     for text, x in zip(texts, ids):
-        block, had, new, uses = blocks.add(text, x, 3)
+        block, had, new, uses = blocks.add(text, np.flatnonzero(x >= 3))
         known = lists.setdefault(block, [])
         assert len(known) == had
         known += new
