@@ -19,7 +19,9 @@ A document is contaminated by an item if a run covers at least COVERAGE of the
 item's windows, or if it holds RUN tokens of the item in a row with the same
 fillers, whatever their share of the item (matched_windows is then what the
 best run covers). An item with fewer tokens than WINDOW is one
-window, its whole template.
+window, its whole template. A window with fewer than WORDING words besides its
+slots has no wording to tell it by and matches only with equal fillers, so the
+item '42' is found where 42 stands, not where any number does.
 
 The benchmark's window hashes are compressed to a table of 2**FILTER_BITS bits
 that travels in a broadcast of fixed size; only document windows that pass it
@@ -45,6 +47,7 @@ from lexiscope.llm.common import (LIGHT_ROWS, encoded, materialized, mix, segmen
 from lexiscope.llm.features import LETTERS
 
 WINDOW = 8
+WORDING = 2                   # words, other than slots, that a window needs to match by its template
 COVERAGE = 0.5
 RUN = 13
 DRIFT = 8
@@ -101,6 +104,14 @@ class Template:
             h = np.full(n, width, np.uint64)
             for k in range(width):
                 h += self.ids[k:k + n] * _FACTORS[k]
+            words = np.concatenate([[0], np.cumsum(~self.slot)])
+            few = np.flatnonzero(words[width:] - words[:-width] < WORDING)
+            if len(few):
+                as_written = np.where(self.slot, segment_hashes(np.frombuffer(self.low, np.uint8), self.starts, self.ends),
+                                      self.ids)
+                h[few] = width
+                for k in range(width):
+                    h[few] += as_written[few + k] * _FACTORS[k]
         return mix(h)
 
     def fillers(self, at: int, width: int) -> str:

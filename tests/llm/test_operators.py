@@ -401,3 +401,14 @@ def test_lm_replaces_columns_named_like_outputs(spark):
     got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
     assert [got[k].n_words for k in (1, 2, 3)] == [3, 0, 0] and got[2].logprob == 0 and got[3].mean_logprob is None
     assert got[1].units == 1 and got[1].logprob < 0
+
+
+def test_decontamination_of_items_without_wording_needs_equal_fillers(spark):
+    items = spark.createDataFrame([(1, "42"), (2, "see Paris"), (3, "how far does the old train of Anna go in 3 hours")],
+                                  "item_id long, text string")
+    docs = docs_of(spark, [(1, "there were 17 of them"), (2, "there were 42 of them"), (3, "we did see London today"),
+                           (4, "we did see Paris today"), (5, "how far does the old train of Emma go in 7 hours"),
+                           (6, None), (7, "")])
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()}
+    assert got == {(2, 1), (4, 2), (5, 3)}
+    assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {1, 3, 6, 7}
