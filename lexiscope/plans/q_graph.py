@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions import scalar as S
@@ -9,6 +10,8 @@ from lexiscope.operators import graph as G
 from lexiscope.plans.catalog import register
 from lexiscope.plans.oracle import with_ctes
 from lexiscope.sources import fixtures as X
+from lexiscope.sources.conllu import read_conllu, write_conllu
+from lexiscope.sources.files import scratch_path
 from lexiscope.sources.tables import table
 
 DIM = 64
@@ -382,3 +385,29 @@ def _pool_query(how: str):
 
 register("graph_pool_max", _pool_sql("max"))(_pool_query("max"))   # G15 (max)
 register("graph_pool_sum", _pool_sql("sum"))(_pool_query("sum"))   # G15 (sum)
+
+
+@register("conllu_graph_edges", with_ctes(["tokens"], ["""placed AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, sent_id) - 1 - i AS behind FROM tokens)""", """heads AS (
+  SELECT *, CASE WHEN behind > 0 THEN 1 + i * 7 % behind ELSE 0 END AS step,
+         dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS sent
+  FROM placed)""", """edges AS (
+  SELECT doc_id, CAST(sent AS INTEGER) AS sent_id, i,
+         CASE WHEN behind = 0 THEN 'ROOT_0'
+              ELSE lead(concat_ws('_', lower(text), pos), step) OVER (PARTITION BY doc_id, sent_id ORDER BY i) END AS src,
+         concat_ws('_', lower(text), pos) AS dst, CASE WHEN behind = 0 THEN 'ROOT' ELSE 'dep' END AS dep,
+         CASE WHEN step > 0 THEN 1.0 / step ELSE 1.0 END AS dist
+  FROM heads)"""]) + "SELECT doc_id, sent_id, i, src, dst, dep, dist FROM edges")
+def q_conllu_graph_edges(spark, sf_dir):
+    """A parse with heads far apart, written as CoNLL-U and read back;
+    the last token of a sentence is its root."""
+    sentence = Window.partitionBy("doc_id", "sent_id")
+    t = X.tokens(spark, sf_dir).withColumn("behind", (F.count("*").over(sentence) - 1 - F.col("i")).cast("int"))
+    root = F.col("behind") == 0
+    parse = (t.withColumn("dep", F.when(root, "ROOT").otherwise("dep"))
+             .withColumn("head_i", F.when(root, F.col("i")).otherwise(
+                 F.col("i") + 1 + F.when(root, 0).otherwise(F.col("i") * 7 % F.greatest("behind", F.lit(1)))))
+             .drop("behind"))
+    path = scratch_path(spark, "conllu")
+    write_conllu(parse, path)
+    return G.token_edges(G.token_info(read_conllu(spark, path)))
