@@ -13,6 +13,7 @@ from lexiscope.session import ensure_checkpoint_dir
 
 BATCH_ROWS = 512
 LIGHT_ROWS = 1 << 15
+BATCH_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Python workers get at most so many rows at once: few where rows hold
-    whole texts, more (LIGHT_ROWS) where they hold numbers only."""
+    whole texts, more (LIGHT_ROWS) where they hold numbers only. The settings
+    are the session's and plans run later, so rows alone bound nothing: a batch
+    ends at BATCH_BYTES as well, whatever operator was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

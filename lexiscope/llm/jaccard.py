@@ -20,8 +20,10 @@ link when 100 * intersection >= 80 * union.
    are first compared with four pivots, and after that only those that are
    not yet in the pivot's component are compared with the others.
 4. Candidates pass a bound from parity bitmaps (every shingle flips one bit,
-   so the bitmaps differ in at most |symmetric difference| bits) and are then
-   verified on the full sets: first every document's link to its smallest
+   so the bitmaps differ in at most |symmetric difference| bits), first from
+   bitmaps of one size, then, for larger sets, from bitmaps that grow with the
+   set (they halve by folding, so that sets of any sizes compare). Those that
+   remain are verified on the full sets: first every document's link to its smallest
    partner, then those candidates whose ends are still in different
    components. The rest cannot change a component.
 
@@ -140,15 +142,41 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return single, np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
     """Parity of the shingles that fall on each bit."""
-    odd = np.bincount((s % _U(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    odd = np.bincount((s % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """For a set of more than half BITMAP_BITS shingles a bitmap of a power of
+    two, at least twice the set's size: a bitmap of fewer bits differs from
+    any other in half of its bits at most, which says nothing on large sets."""
+    bits = 1 << (2 * len(s) - 1).bit_length() if len(s) else 0
+    return bitmap(s, bits) if bits > BITMAP_BITS else None
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which each two bitmaps differ, the larger one folded to the
+    size of the smaller one (its halves combined by exclusive or)."""
+    size = np.array([[len(i), len(j)] for i, j in zip(x, y)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(size), np.int64)
+    for pair in np.unique(size, axis=0):
+        at = np.flatnonzero((size == pair).all(axis=1))
+        sides = []
+        for side in (x, y):
+            bits = np.frombuffer(b"".join(side[k] for k in at), np.uint8).reshape(len(at), -1)
+            while bits.shape[1] > pair.min():
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            sides.append(bits)
+        out[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def indexed(docs: DataFrame, flags: np.ndarray, key: str, text: str, bits: int = SKETCH_BITS) -> DataFrame:
     """Per row: doc_id, n_shingles, a 128-bit key of the set, its signatures
-    and its bitmap. The flags (2**bits bits) travel in a broadcast."""
+    and its bitmaps. The flags (2**bits bits) travel in a broadcast."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
@@ -163,14 +191,14 @@ def indexed(docs: DataFrame, flags: np.ndarray, key: str, text: str, bits: int =
                 with np.errstate(over="ignore"):
                     x = int(signed(np.bitwise_xor.reduce(s, initial=_U(0), keepdims=True))[0])
                     y = int(signed(np.sum(mix(s), dtype=np.uint64, keepdims=True))[0])
-                out.append((doc, len(s), x, y, signed(single), signed(pairs), bitmap(s)))
-            got = pd.DataFrame(out, columns=["doc_id", "n", "x", "y", "single", "pairs", "bitmap"])
+                out.append((doc, len(s), x, y, signed(single), signed(pairs), bitmap(s), wide_bitmap(s)))
+            got = pd.DataFrame(out, columns=["doc_id", "n", "x", "y", "single", "pairs", "bitmap", "wide"])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
 
     return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
             .mapInPandas(run, "doc_id long, n int, x long, y long, single array<long>, "
-                              "pairs array<long>, bitmap binary"))
+                              "pairs array<long>, bitmap binary, wide binary"))
 
 
 def spread(data: DataFrame, ask: DataFrame, key: str, block: int) -> DataFrame:
@@ -295,19 +323,22 @@ def frequent_groups(nodes: DataFrame) -> DataFrame:
     return rows.join(groups, "sig")
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, maps: DataFrame, column: str = "bitmap") -> DataFrame:
     """Candidates that the bitmaps allow: the symmetric difference is at least
     the number of bits in which they differ, and at most 0.2 / 1.8 of the
-    sizes' sum in a linked pair."""
+    sizes' sum in a linked pair. A pair without one of them stays."""
     def side(x: str) -> DataFrame:
-        return nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"m_{x}"))
+        return maps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"m_{x}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x = np.frombuffer(b"".join(b.m_a), np.uint8) ^ np.frombuffer(b"".join(b.m_b), np.uint8)
-                differ = np.bitwise_count(x.reshape(len(b), -1)).sum(axis=1, dtype=np.int64)
-                b = b[18 * differ <= 2 * (b.n_a.to_numpy(np.int64) + b.n_b.to_numpy(np.int64))]
+            known = np.flatnonzero((b.m_a.notna() & b.m_b.notna()).to_numpy())
+            if len(known):
+                near = b.iloc[known]
+                total = near.n_a.to_numpy(np.int64) + near.n_b.to_numpy(np.int64)
+                ok = np.ones(len(b), bool)
+                ok[known] = 18 * differing(near.m_a.tolist(), near.m_b.tolist()) <= 2 * total
+                b = b[ok]
             yield b[["a", "b"]]
 
     return (pairs.join(side("a"), "a").join(side("b"), "b")
@@ -364,7 +395,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     member = materialized(rows.select("doc_id", *same).join(first, same, "left").select("doc_id", "n", "node"))
     nodes = materialized(
         sets.join(first.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
-        .dropDuplicates(["doc_id", *same]).select("doc_id", "n", "single", "pairs", "bitmap"))
+        .dropDuplicates(["doc_id", *same]).select("doc_id", "n", "single", "pairs", "bitmap", "wide"))
     discard(rows)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
@@ -372,9 +403,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     groups = materialized(frequent_groups(nodes))
     star = (groups.where(length_ok(F.col("n"), F.col("pivot_n")) & (F.col("doc_id") != F.col("pivot")))
             .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")))
-    candidates = materialized(bounded(rare_pairs(nodes).unionByName(star).distinct(), nodes))
+    first_pass = materialized(bounded(rare_pairs(nodes).unionByName(star).distinct(), nodes))
     maps = materialized(nodes.select("doc_id", "n", "bitmap"))
+    wide = materialized(nodes.select("doc_id", "n", "wide"))
     discard(nodes)
+    candidates = materialized(bounded(first_pass, wide, "wide"))
+    discard(first_pass)
 
     # ids that have several sets are one node as well
     several = member.where("node is not null").groupBy("doc_id").agg(
@@ -396,14 +430,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         pairs = stray_pairs(groups, labels, maps, nearest)
         if pairs is None:
             break
-        late = materialized(pairs.join(seen, ["a", "b"], "left_anti"))
+        late = materialized(bounded(pairs.join(seen, ["a", "b"], "left_anti"), wide, "wide"))
         discard(pairs)
         more = verified(late, texts)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = materialized(components(links))
         seen = seen.unionByName(late)
-    for done in (groups, maps, seen):
+    for done in (groups, maps, wide, seen):
         discard(done)
     return (member.join(labels, member.node == labels.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),

@@ -252,6 +252,43 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_components(docs_of(spark, ODD).limit(0)).count() == 0
 
 
+def test_jaccard_wide_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (400, 513, 2000, 5000, 6000)]
+    maps = [jaccard.wide_bitmap(s) or jaccard.bitmap(s) for s in sets]
+    assert jaccard.wide_bitmap(sets[0]) is None and jaccard.wide_bitmap(sets[0][:0]) is None
+    assert [8 * len(m) for m in maps] == [1024, 2048, 4096, 16384, 16384]
+    x, y = zip(*[(i, j) for i in range(5) for j in range(5)])
+    got = jaccard.differing([maps[i] for i in x], [maps[j] for j in y])
+    for i, j, d in zip(x, y, got):
+        assert d <= len(np.setxor1d(sets[i], sets[j])) and (i != j or d == 0)
+    # a large set and another one: the narrow bitmaps allow the pair, the wide ones do not
+    n = len(sets[3]) + len(sets[4])
+    assert 18 * jaccard.differing([jaccard.bitmap(sets[3])], [jaccard.bitmap(sets[4])])[0] <= 2 * n
+    assert 18 * jaccard.differing([maps[3]], [maps[4]])[0] > 2 * n
+
+
+def test_jaccard_long_documents_and_ids_with_two_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    shared = list(rng.choice(words, 400))
+    rows = []
+    for i in range(12):      # long texts that share a passage, and edits of them
+        base = list(rng.choice(words, 480 + 150 * i))
+        rows.append((10 * i, " ".join(shared + base)))
+        for k, edits in ((1, 5), (2, 60)):
+            t = list(base)
+            for at in rng.integers(0, len(t), edits):
+                t[at] = "x"
+            rows.append((10 * i + k, " ".join(shared + t)))
+    got = jaccard.jaccard_components(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    # an id with a small and a large text links by either
+    two = [(1, rows[3][1]), (1, " ".join(shared[:200])), (2, rows[4][1]), (3, " ".join(shared[:202]))]
+    got = jaccard.jaccard_components(docs_of(spark, two)).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (None, 1), (2, 1)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
