@@ -48,6 +48,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans. It does so when
+    the driver's garbage collector finds a plan unused, which on a driver with
+    memory to spare may be long after the disks of the executors are full."""
+    spark._jvm.System.gc()
+
+
 ID_FLAG_BITS = 24
 
 

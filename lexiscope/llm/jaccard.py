@@ -41,8 +41,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import (LIGHT_ROWS, discard, flagged, materialized, mix, shingle_hashes, signed,
-                                  small_batches)
+from lexiscope.llm.common import (LIGHT_ROWS, discard, flagged, materialized, mix, release, shingle_hashes,
+                                  signed, small_batches)
 from lexiscope.llm.components import components
 
 WIDTH = 5
@@ -149,10 +149,10 @@ def bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
 
 
 def wide_bitmap(s: np.ndarray) -> bytes | None:
-    """For a set of more than half BITMAP_BITS shingles a bitmap of a power of
-    two, at least twice the set's size: a bitmap of fewer bits differs from
+    """For a set of more than BITMAP_BITS shingles a bitmap of a power of two
+    bits, at least one a shingle: a bitmap of fewer bits differs from
     any other in half of its bits at most, which says nothing on large sets."""
-    bits = 1 << (2 * len(s) - 1).bit_length() if len(s) else 0
+    bits = 1 << (len(s) - 1).bit_length() if len(s) else 0
     return bitmap(s, bits) if bits > BITMAP_BITS else None
 
 
@@ -174,9 +174,29 @@ def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
+def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: doc_id, n_shingles and a 128-bit key of the set."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = pd.DataFrame([set_key(shingle_hashes(t, WIDTH)) for t in b.t], columns=["n", "x", "y"])
+            yield got.assign(doc_id=b.doc_id.astype("Int64").to_numpy())[["doc_id", "n", "x", "y"]]
+
+    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+            .mapInPandas(run, "doc_id long, n int, x long, y long"))
+
+
+def set_key(s: np.ndarray) -> tuple[int, int, int]:
+    with np.errstate(over="ignore"):
+        x = int(signed(np.bitwise_xor.reduce(s, initial=_U(0), keepdims=True))[0])
+        y = int(signed(np.sum(mix(s), dtype=np.uint64, keepdims=True))[0])
+    return len(s), x, y
+
+
 def indexed(docs: DataFrame, flags: np.ndarray, key: str, text: str, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row: doc_id, n_shingles, a 128-bit key of the set, its signatures
-    and its bitmaps. The flags (2**bits bits) travel in a broadcast."""
+    """Per row with an id and a set: doc_id, n_shingles, the set's key, its
+    signatures and its bitmaps. The flags (2**bits bits) travel in a broadcast."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
@@ -186,17 +206,13 @@ def indexed(docs: DataFrame, flags: np.ndarray, key: str, text: str, bits: int =
             out = []
             for doc, t in zip(b.doc_id, b.t):
                 s = shingle_hashes(t, WIDTH)
-                at = (s >> _U(64 - bits)).astype(np.int64)
-                single, pairs = signatures(s, (mask[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
-                with np.errstate(over="ignore"):
-                    x = int(signed(np.bitwise_xor.reduce(s, initial=_U(0), keepdims=True))[0])
-                    y = int(signed(np.sum(mix(s), dtype=np.uint64, keepdims=True))[0])
-                out.append((doc, len(s), x, y, signed(single), signed(pairs), bitmap(s), wide_bitmap(s)))
-            got = pd.DataFrame(out, columns=["doc_id", "n", "x", "y", "single", "pairs", "bitmap", "wide"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+                if len(s):
+                    at = (s >> _U(64 - bits)).astype(np.int64)
+                    single, pairs = signatures(s, (mask[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+                    out.append((doc, *set_key(s), signed(single), signed(pairs), bitmap(s), wide_bitmap(s)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "x", "y", "single", "pairs", "bitmap", "wide"])
 
-    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null")
             .mapInPandas(run, "doc_id long, n int, x long, y long, single array<long>, "
                               "pairs array<long>, bitmap binary, wide binary"))
 
@@ -266,6 +282,7 @@ def stray_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, nearest:
     pairs = materialized(rows.withColumn("part", F.pmod("sig", F.lit(parts))).groupBy("part", "dp", "qp")
                          .applyInPandas(run, "a long, b long").distinct())
     discard(data)
+    release(groups.sparkSession)
     return pairs
 
 
@@ -371,6 +388,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                          .mapInPandas(run, "a long, b long").distinct())
     discard(needed)
     discard(pairs)
+    release(spark)
     return links
 
 
@@ -387,20 +405,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     spark = docs.sparkSession
     flags, _ = sketch(docs, text)
-    rows = materialized(indexed(docs, flags, key, text))
+    rows = materialized(sets_of(docs, key, text))
     # equal sets are one node: the smallest id stands for them
     same = ["x", "y", "n"]
-    sets = rows.where("n > 0 and doc_id is not null")
-    first = sets.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    member = materialized(rows.select("doc_id", *same).join(first, same, "left").select("doc_id", "n", "node"))
+    first = (rows.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node")))
+    member = materialized(rows.join(first, same, "left").select("doc_id", "n", *same[:2], "node"))
+    # signatures are made in a second pass over the texts and written once,
+    # for the nodes only
+    release(spark)
+    stands = member.where("doc_id = node").select("doc_id", *same).distinct()
     nodes = materialized(
-        sets.join(first.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
+        indexed(docs, flags, key, text).join(stands, ["doc_id", *same], "left_semi")
         .dropDuplicates(["doc_id", *same]).select("doc_id", "n", "single", "pairs", "bitmap", "wide"))
+    member = member.select("doc_id", "n", "node")
     discard(rows)
+    release(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
     small_batches(spark, LIGHT_ROWS)
     groups = materialized(frequent_groups(nodes))
+    release(spark)
     star = (groups.where(length_ok(F.col("n"), F.col("pivot_n")) & (F.col("doc_id") != F.col("pivot")))
             .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")))
     first_pass = materialized(bounded(rare_pairs(nodes).unionByName(star).distinct(), nodes))
@@ -409,6 +433,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     discard(nodes)
     candidates = materialized(bounded(first_pass, wide, "wide"))
     discard(first_pass)
+    release(spark)
 
     # ids that have several sets are one node as well
     several = member.where("node is not null").groupBy("doc_id").agg(

@@ -254,10 +254,10 @@ def test_jaccard_odd_rows(spark):
 
 def test_jaccard_wide_bitmaps_bound_the_difference():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (400, 513, 2000, 5000, 6000)]
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (400, 1025, 2000, 5000, 6000)]
     maps = [jaccard.wide_bitmap(s) or jaccard.bitmap(s) for s in sets]
     assert jaccard.wide_bitmap(sets[0]) is None and jaccard.wide_bitmap(sets[0][:0]) is None
-    assert [8 * len(m) for m in maps] == [1024, 2048, 4096, 16384, 16384]
+    assert [8 * len(m) for m in maps] == [1024, 2048, 2048, 8192, 8192]
     x, y = zip(*[(i, j) for i in range(5) for j in range(5)])
     got = jaccard.differing([maps[i] for i in x], [maps[j] for j in y])
     for i, j, d in zip(x, y, got):
