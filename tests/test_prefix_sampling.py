@@ -72,3 +72,12 @@ def test_leave_out_conserves_rows(spark):
     assert out.count() == 60
     assert out.where("genre = 'de' AND split = 'train'").count() == 0
     assert out.where("split = 'test'").count() == 20
+
+
+def test_split_sends_no_group_to_one_task(spark):
+    from lexiscope.operators.sampling import stratified_split
+    df = spark.range(100).selectExpr("id", "CAST(id % 2 AS INT) AS label", "repeat('x', 50) AS text")
+    plan = stratified_split(df, "label", 0.2)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning(label" in line and "id" not in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert not any("SortMergeJoin [label#" in line and ", id#" not in line for line in plan.split("\n")), plan
+    assert len(wide) <= plan.count("HashAggregate") + plan.count("Window"), plan
