@@ -39,6 +39,10 @@ HEAD, END, TARGET_ROLE = "### ", "</turn>", "assistant"
 _CONTROL = r"(\\|###|</turn>)"
 _ROLE_CONTROL = r"(\\|###|</turn>|:)"
 _SEGMENT = re.compile(r"### ((?:[^\\:]|\\(?:\\|###|</turn>|:))*): (.*)</turn>\n", re.DOTALL)
+# a segment ends at the first end mark that no backslash escapes
+_SEGMENT_AT = re.compile(r"### (?:[^\\:]|\\(?:\\|###|</turn>|:))*: (?:[^\\<]|\\(?:\\|###|</turn>)|<(?!/turn>))*+</turn>\n")
+# characters of a part of an example, and of a batch of parts
+PART, BATCH = 1 << 20, 1 << 22
 
 
 def escaped(c: Column, control: str = _CONTROL) -> Column:
@@ -96,48 +100,108 @@ def read_segment(segment: str) -> tuple[str, str]:
     return unescape(m[1], _ROLE_CONTROL), unescape(m[2])
 
 
-def digests(expanded: DataFrame) -> DataFrame:
-    """Per conversation, read back from the expanded rows: its turns, the hash
-    of roles and texts, the trainable characters and their hash, and the
-    characters of all examples. Rows stream through in order; a task holds one
-    turn at a time, however long the conversation."""
+def example_stream(expanded: DataFrame, part_size: int = PART) -> DataFrame:
+    """The rows of ``examples``, made as streams: (conv_id, example, part, text,
+    target_start, target_end). A conversation's segments are read in order and
+    each example is written as its whole prefix, cut into parts of at most
+    ``part_size`` characters; the target (of the whole example) stands at the last part. A
+    task holds one conversation's string."""
+    schema = "conv_id long, example long, part int, text string, target_start long, target_end long"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=names)
+        for c in ("conv_id", "example", "target_start", "target_end"):
+            out[c] = out[c].astype("Int64")
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_id, said, rows, size = None, [], [], 0
+        for b in batches:
+            for conv, seq, text, example, lo, hi in zip(
+                    b.conv_id.astype(object).where(b.conv_id.notna(), None), b.seq, b.text, b.example,
+                    b.target_start, b.target_end):
+                if seq == 0:
+                    open_id, said = conv, []
+                said.append(text)
+                if pd.isna(example):
+                    continue
+                said = ["".join(said)]
+                last = (len(said[0]) - 1) // part_size
+                for part in range(last + 1):
+                    piece = said[0][part * part_size:(part + 1) * part_size]
+                    target = (int(lo), int(hi)) if part == last and pd.notna(lo) else (None, None)
+                    rows.append((open_id, int(example), part, piece, *target))
+                    size += len(piece)
+                    if size > BATCH:
+                        yield frame(rows)
+                        rows, size = [], 0
+        if rows:
+            yield frame(rows)
+
+    small_batches(expanded.sparkSession, 4096)
+    return (expanded.withColumn("conv_id", F.col("conv_id").cast("long"))
+            .repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(run, schema))
+
+
+def segments(text: str) -> Iterator[str]:
+    """The segments of an example's text."""
+    at = 0
+    while at < len(text):
+        m = _SEGMENT_AT.match(text, at)
+        if m is None:
+            raise ValueError(f"no turn at character {at}")
+        yield m[0]
+        at = m.end()
+
+
+def digests(expanded: DataFrame, part_size: int = PART) -> DataFrame:
+    """Per conversation, read back from its examples: its turns and the hash of
+    roles and texts (from the last example, which is the whole conversation),
+    the trainable characters and their hash (from the target of every
+    example), and the characters of all examples."""
     schema = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
               "formatted_chars long, n_examples long")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def close(conv, s):
+        n, turns = 0, hashlib.sha256()
+        for segment in segments("".join(s["parts"])):
+            role, said = read_segment(segment)
+            n += 1
+            turns.update(encoded(f"{role}\n{said}\n"))
+        return conv, n, turns.hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"], s["examples"]
+
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=names)
+        out["conv_id"] = out["conv_id"].astype("Int64")
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        state, open_id = None, None
+        state, open_id, parts = None, None, []
         for b in batches:
             done = []
-            for conv, start, text, example, lo, hi in zip(
-                    b.conv_id.astype(object).where(b.conv_id.notna(), None), b.start, b.text, b.example,
+            for conv, example, part, text, lo, hi in zip(
+                    b.conv_id.astype(object).where(b.conv_id.notna(), None), b.example, b.part, b.text,
                     b.target_start, b.target_end):
-                if state is None or conv != open_id:
+                if example == 0 and part == 0:
                     if state is not None:
                         done.append(close(open_id, state))
-                    open_id, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, said = read_segment(text)
-                state[0] += 1
-                state[1].update(encoded(f"{role}\n{said}\n"))
-                if pd.notna(lo):
-                    loss = unescape(text[int(lo) - start:int(hi) - start])
-                    state[2] += len(loss)
-                    state[3].update(encoded(loss))
-                if pd.notna(example):
-                    state[4] += start + len(text)
-                    state[5] += 1
-            yield frame(done, names)
+                    open_id, state = conv, {"loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "examples": 0}
+                if part == 0:
+                    parts = []
+                    state["examples"] += 1
+                parts.append(text)
+                state["chars"] += len(text)
+                state["parts"] = parts
+                if pd.notna(lo):        # at the last part: the target may span several
+                    first, end = int(lo) // part_size, (int(hi) - 1) // part_size
+                    span = "".join(parts[first:end + 1])
+                    loss = unescape(span[int(lo) - first * part_size:int(hi) - first * part_size])
+                    state["loss_chars"] += len(loss)
+                    state["loss"].update(encoded(loss))
+            yield frame(done)
         if state is not None:
-            yield frame([close(open_id, state)], names)
-
-    def close(conv, s):
-        return conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4], s[5]
+            yield frame([close(open_id, state)])
 
-    def frame(rows, names):
-        out = pd.DataFrame(rows, columns=names)
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        return out
-
-    small_batches(expanded.sparkSession, 4096)
-    return (expanded.withColumn("conv_id", F.col("conv_id").cast("long"))
-            .repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(run, schema))
+    return example_stream(expanded, part_size).mapInPandas(run, schema)

@@ -364,6 +364,25 @@ def test_chat_round_trip_and_examples(spark):
     assert chat.digests(chat.expand(turns.limit(0))).count() == 0
 
 
+def test_chat_digests_read_the_examples(spark):
+    rows = [(1, 0, "user", "hi \\### a </turn>\n" * 3), (1, 1, "assistant", "one <"), (1, 2, "assistant", "</turn>two"),
+            (2, 0, "assistant", ""), (None, 0, "user", "# x")]
+    out = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    full = {(r.conv_id, r.example): r for r in chat.examples(out).collect()}
+    parts = {}
+    for r in chat.example_stream(out, part_size=7).collect():
+        assert 0 < len(r.text) <= 7
+        parts.setdefault((r.conv_id, r.example), []).append(r)
+    assert {k: "".join(x.text for x in sorted(v, key=lambda x: x.part)) for k, v in parts.items()} == {
+        k: r.text for k, r in full.items()}
+    assert {k: tuple(max(v, key=lambda x: x.part)[4:]) for k, v in parts.items()} == {
+        k: (r.target_start, r.target_end) for k, r in full.items()}
+    small, large = (sorted(map(str, chat.digests(out, part_size=n).collect())) for n in (7, 1000))
+    assert small == large and len(small) == 3
+    plan = chat.digests(out)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas") == 2       # examples are written, then read back
+
+
 # ---- LM scoring
 
 def test_lm_scores_equal_a_plain_computation(spark):
