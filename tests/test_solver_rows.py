@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from lexiscope.operators import models as MD
@@ -55,3 +57,9 @@ def test_naive_bayes_is_that_of_spark_ml(spark, classes):
         assert r.prediction == want[r.id][1]
         if classes == 2:
             assert abs(r.prob - want[r.id][0][1]) < 1e-9
+
+
+def test_null_labels_are_refused_where_classes_are_counted(spark):
+    df = frame(spark, 2, 20).withColumn("label", F.when(F.col("id") > 3, F.col("label")))
+    with pytest.raises(PySparkException, match="Labels MUST NOT be Null"):
+        MD.classifier("nb", calibrated=False).fit(df)
