@@ -85,3 +85,12 @@ def test_split_sends_no_group_to_one_task(spark):
     lines = plan.split("\n")
     by_label = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(label#" in line and ", id#" not in line]
     assert by_label and not any("text#" in below for below in by_label), plan
+
+
+def test_corpus_loaders_shuffle_no_text(spark):
+    """The word lengths are taken where the texts are read, below every exchange."""
+    import __spark_entry__ as E
+    for name in ("load_corpus", "load_corpus_domain"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        top = plan.split("Join", 1)[0]
+        assert "text#" not in top and "word_len#" in top, plan
