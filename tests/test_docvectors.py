@@ -52,3 +52,20 @@ def test_no_vector_of_a_node_is_shuffled(spark):
     for name in ("graph_pool", "gcn_propagate"):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan.split("MapInArrow")[0], plan
+
+
+def test_documents_go_to_their_blocks_as_texts(spark):
+    """Below the exchange by block a row holds a text, not a graph; the
+    pooled vectors are written before they are split."""
+    import __spark_entry__ as E
+    plan = E.queries()["gcn_propagate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert "ROOT_0" in above and "ROOT_0" not in below, plan
+
+
+def test_pooled_vectors_are_split_from_a_written_table(spark, monkeypatch):
+    from lexiscope.plans import q_models
+    seen = []
+    monkeypatch.setattr(q_models, "_three_way", seen.append)
+    q_models._pooled(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
