@@ -435,6 +435,44 @@ def test_lm_learns_from_every_position():
     assert len(lm.turn(t, 0, 0.5)) == 500 and not len(lm.turn(t[:0], 0, 1))
 
 
+@pytest.mark.parametrize("large", [1, 400])
+def test_lm_steps_and_scores_equal_plain_ones(large):
+    """Also with logits whose exponentials single precision cannot hold."""
+    rng, symbols = np.random.default_rng(5), lm.SYMBOLS
+    ids = [rng.integers(0, symbols, n).astype(np.int32) for n in (0, 1, 70, 200)]
+    t, c = lm.context_of(ids, symbols)
+    p = lm.start(symbols)
+    p["group"], p["word"], p["word_bias"] = p["group"] * large, p["word"] * large, p["word_bias"] + np.float32(large / 2)
+    q = {k: v.astype(float) for k, v in p.items()}
+    h = np.tanh(q["bias"] + sum(q["context"][k][c[:, k]] for k in range(2 * lm.SIDE)))
+    g, w = t // lm.GROUP, t % lm.GROUP
+    row, grad, total = np.arange(len(t)), {k: np.zeros_like(v) for k, v in q.items()}, 0.0
+    shares = []
+    for x, at in ((h @ q["group"] + q["group_bias"], g),
+                  (np.einsum("ni,nij->nj", h, q["word"][g]) + q["word_bias"][g], w)):
+        x = x - x.max(axis=1, keepdims=True)
+        total = total + x[row, at] - np.log(np.exp(x).sum(axis=1))
+        d = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        d[row, at] -= 1
+        shares.append(d / len(t))
+    d, e = shares
+    dh = (d @ q["group"].T + np.einsum("nj,nij->ni", e, q["word"][g])) * (1 - h * h)
+    grad["group"], grad["group_bias"], grad["bias"] = h.T @ d, d.sum(axis=0), dh.sum(axis=0)
+    np.add.at(grad["word"], g, np.einsum("ni,nj->nij", h, e))
+    np.add.at(grad["word_bias"], g, e)
+    for k in range(2 * lm.SIDE):
+        np.add.at(grad["context"][k], c[:, k], dh)
+    got = lm.log_probabilities(p, t, c)
+    assert np.isfinite(got).all() and np.allclose(got, total, rtol=1e-4, atol=1e-3)
+    learner = lm.Learner(p)
+    learner.step(t, c)
+    for k in p:
+        assert np.allclose(learner.p[k], q[k] - lm.RATE * grad[k] / np.sqrt(0.1 + grad[k] ** 2), rtol=1e-4, atol=2e-5 * large), k
+    near = lm.centred(np.array([[1.0, -2.0]], np.float32))
+    far = lm.centred(np.array([[1.0, 2.0], [-500.0, -499.0]], np.float32))
+    assert near.tolist() == [[1, -2]] and far.tolist() == [[-1, 0], [-1, 0]]
+
+
 def test_lm_blocks_number_each_outside_word_once(monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_WORDS", 5)
     rng = np.random.default_rng(3)
