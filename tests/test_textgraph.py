@@ -41,3 +41,13 @@ def test_graphs_are_made_of_batches_of_texts(spark, folder, name):
     import __spark_entry__ as E
     plan = E.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "regexp_extract_all" not in plan, plan
+
+
+def test_edges_carry_their_whole_vector(spark, folder):
+    import __spark_entry__ as E
+    got = E.queries()["dep_edge_vector"](spark, folder).collect()
+    assert {(r.doc_id, r.src, r.dst) for r in got} == {
+        (r.doc_id, r.src, r.dst) for r in E.queries()["fallback_graph"](spark, folder).collect()}
+    for r in got:
+        assert r.vec == [round(((r.k * 7919 + j * 104729 + 62) % 1000) / 1000 - 0.5, 6) for j in range(32)]
+        assert r.esum == pytest.approx(sum(r.vec), abs=1e-6)
